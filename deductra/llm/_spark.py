@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Stands in for a null doc_id where a join key is needed.
 NO_ID = -(2**63)
 #: Rows of a batch handed to Python; a batch is further bounded by bytes.
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 16384
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,15 +60,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def wide_batches(spark: SparkSession) -> None:
-    """For narrow rows of numbers: more rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc`` (doc_id, nulls as NO_ID) and ``text``, other columns only if asked for."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), *more)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc`` (doc_id, nulls as NO_ID) and ``text``; no other column is read."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -84,7 +78,7 @@ def doc_id(col: str = "doc"):
     return F.when(F.col(col) == NO_ID, F.lit(None).cast("long")).otherwise(F.col(col)).alias("doc_id")
 
 
-def slots(df: DataFrame, key: str, tie: str, chunks: int = 1024, out: str = "slot") -> DataFrame:
+def slots(df: DataFrame, key: str, tie: list[str], chunks: int = 1024, out: str = "slot") -> DataFrame:
     """Number the rows of each ``key`` gaplessly from 0, without sorting a key in one task.
 
     Rows are split into ``chunks`` by a hash of ``tie``; chunk counts are summed in
@@ -92,9 +86,9 @@ def slots(df: DataFrame, key: str, tie: str, chunks: int = 1024, out: str = "slo
     """
     from pyspark.sql import Window
 
-    split = df.withColumn("_chunk", F.pmod(F.xxhash64(tie), F.lit(chunks)).cast("int"))
+    split = df.withColumn("_chunk", F.pmod(F.xxhash64(*tie), F.lit(chunks)).cast("int"))
     counts = split.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(key, "_chunk", (F.sum("_n").over(Window.partitionBy(key).orderBy("_chunk")) - F.col("_n")).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(tie))
+    inner = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*tie))
     numbered = split.withColumn("_inner", inner)
     return numbered.join(before, [key, "_chunk"]).withColumn(out, (F.col("_before") + F.col("_inner") - 1).cast("long")).drop("_chunk", "_inner", "_before")

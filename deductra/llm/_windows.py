@@ -35,7 +35,9 @@ _POS = U((1 << 20) - 1)
 ALONE, KNOWN, FIRST = 0, 1, 2
 _RUNS = pa.schema([("a", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("pl", pa.int64())])
 _FOUND = pa.schema([("doc", pa.int64()), ("pl", pa.int64()), ("open", pa.int8())])
-_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("pl", pa.int64())])
+_WINDOWS = pa.schema([("w", pa.int64()), ("doc", pa.int64()), ("pl", pa.int64())])
+#: The low bits of ``pl`` hold, for single windows, as many bits of a second hash.
+_TAG = (1 << 22) - 1
 
 Tokens = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 
@@ -200,8 +202,8 @@ def _open_windows(tokens: Tokens, length: int):
                     base, end = int(first.min()), int(at.max()) + length
                     h1, h2 = T.prefix(x1[base:end], T.BASE1), T.prefix(x2[base:end], T.BASE2)
                     w1 = T.mix(T.between(h1, at - base, at - base + length, T.BASE1)).view(np.int64)
-                    w2 = T.mix(T.between(h2, at - base, at - base + length, T.BASE2)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(len(at), doc, np.int64)), pa.array(_pack(at, 0, 0, 0))], schema=_WINDOWS)
+                    w2 = T.mix(T.between(h2, at - base, at - base + length, T.BASE2)).view(np.int64) & _TAG
+                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(np.full(len(at), doc, np.int64)), pa.array(_pack(at, 0, 0, 0) | w2)], schema=_WINDOWS)
 
     return run
 
@@ -210,7 +212,8 @@ def _settle_windows(both: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # w1, w2, doc, pl, marked
         for b in batches:
-            w1, w2, doc, pl = (c.to_numpy() for c in b.columns)
+            w1, doc, pl = (c.to_numpy() for c in b.columns)
+            w2, pl = pl & _TAG, pl & ~_TAG
             once = _unlike_previous(w1, w2, doc, pl, before=last)
             w1, w2, doc, pl = w1[once], w2[once], doc[once], pl[once]
             if not len(w1):
@@ -248,8 +251,8 @@ def repeated(docs: DataFrame, tokens: Tokens, length: int, gram: int, both: bool
     found = found.repartition("a").sortWithinPartitions("a", "seg", "doc", "pl")
     runs_ = cut(found.mapInArrow(_settle_runs(both), "doc long, pl long, open byte"))
     open_ = runs_.where("open = 1").groupBy("doc").agg(F.collect_list("pl").alias("pls"))
-    windows = read.join(open_, "doc").select("doc", "data", "pls").mapInArrow(_open_windows(tokens, length), "w1 long, w2 long, doc long, pl long")
-    windows = windows.repartition("w1").sortWithinPartitions("w1", "w2", "doc", "pl")
+    windows = read.join(open_, "doc").select("doc", "data", "pls").mapInArrow(_open_windows(tokens, length), "w long, doc long, pl long")
+    windows = windows.repartition("w").sortWithinPartitions("w", F.col("pl").bitwiseAND(_TAG), "doc", "pl")
     single = windows.mapInArrow(_settle_windows(both), "doc long, pl long, open byte")
     marks = runs_.where("open = 0").unionByName(single)
     return marks.groupBy("doc").agg(F.collect_list("pl").alias("pls"))
