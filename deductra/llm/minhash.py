@@ -9,9 +9,11 @@ Equal shingle sets are one class, represented by its smallest doc_id. In each ba
 the representatives, sorted, are compared with the first and with their neighbour, which
 is linear in the bucket. Candidates are confirmed on full shingle sets, streamed beside
 their bucket's first document, split over several tasks where that has many. Confirmed
-links make components. Only buckets in which several components remain are then compared
-across components, so every pair that shares a bucket is either confirmed, refuted, or
-already connected. Texts are shuffled, sets are not.
+links make components. Buckets in which several components remain are then compared whole,
+block against block, by matrix products that give all exact similarities of a block pair
+and hand on one link for each two components. So every pair that shares a bucket is
+confirmed, refuted, or already connected, and no pairs are emitted. Texts are shuffled,
+sets are not.
 
 Defined results. Null or empty text, or no words: empty set, linked with nothing, kept.
 Fewer words than a shingle: the whole sequence as one. Ties: the smallest doc_id stands for
@@ -36,6 +38,8 @@ from .components import components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 80, 32, 5
 #: Members compared by one task with one first document.
 GROUP = 256
+#: Members of a block, and shared shingles of a matrix product: they bound a task's memory.
+BLOCK, COLUMNS = 1024, 2048
 U = np.uint64
 
 
@@ -155,6 +159,63 @@ def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, words: int, simi
     return dealt.mapInArrow(_confirm(words, similarity), "u long, v long")
 
 
+def _compare_blocks(words: int, similarity: int):
+    """Over rows sorted by key and block pair: exact similarities of all members at once, as matrix products over shared shingles.
+
+    Only links between different components are given, one a pair of components.
+    """
+
+    def links(sets, reps, comps):
+        sizes = np.array([len(x) for x in sets])
+        found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(sets)), sizes), counts[inverse] > 1
+        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
+        row, width = row[shared], int((counts > 1).sum())
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for g in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, [g, g + COLUMNS])
+            x = np.zeros((len(sets), min(COLUMNS, width - g)), np.float32)
+            x[row[a:b], column[a:b] - g] = 1
+            both += x @ x.T
+        union = sizes[:, None] + sizes[None, :] - both
+        c = np.array(comps)
+        u, v = np.nonzero((100 * both >= similarity * union) & (c[:, None] < c[None, :]))
+        _, first = np.unique(np.stack([c[u], c[v]]), axis=1, return_index=True)
+        return [reps[k] for k in u[first]], [reps[k] for k in v[first]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sets, reps, comps = None, [], [], []
+        for b in batches:
+            us, vs = [], []
+            for *g, rep, comp, h1, text in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6)):
+                if g != group:
+                    if len(sets) > 1:
+                        u, v = links(sets, reps, comps)
+                        us += u
+                        vs += v
+                    group, sets, reps, comps = g, [], [], []
+                s = shingle_set(text.as_buffer(), words)
+                if _digest(s)[0] == h1:
+                    sets.append(s), reps.append(rep), comps.append(comp)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        if len(sets) > 1:
+            u, v = links(sets, reps, comps)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _across(rest: DataFrame, texts: DataFrame, reps: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links between components that share a bucket (key, rep, component, blocks). Large buckets are compared block by block."""
+    rest = rest.join(reps.select("rep", "h1"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("rep").alias("doc"), "component", "h1")
+    rows = texts.join(wanted, "doc").select("key", "one", "two", "doc", "component", "h1", "data")
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc").mapInArrow(_compare_blocks(words, similarity), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept, a row for each row."""
     small_batches(docs.sparkSession)
@@ -180,12 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     belongs = found.select(F.col("node").alias("rep"), "component")
     inside = stars.select("key", "lead").distinct().select("key", F.col("lead").alias("rep")).union(stars.select("key", "rep"))
     inside = inside.join(belongs, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut(inside.join(mixed, "key").join(sized, "rep"))
-    one, two = (rest.select("key", F.col("rep").alias(a), F.col("component").alias(f"c{a}"), F.col("n").alias(f"n{a}")) for a in "uv")
-    across = one.join(two, "key").where((F.col("cu") < F.col("cv")) & (100 * F.least("nu", "nv") >= similarity * F.greatest("nu", "nv"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = across.join(first, ["u", "v"], "left_anti")
-    links2 = cut(_links(cut(more), texts, reps, words, similarity))
+    counted = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rest = inside.join(counted.where("low < high").select("key", "blocks"), "key")
+    links2 = cut(_across(rest, texts, reps, words, similarity))
     if links2.isEmpty():
         final = found
     else:

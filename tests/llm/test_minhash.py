@@ -95,3 +95,19 @@ def test_components(spark):
                     parent[x] = a
         df = spark.createDataFrame(edges, "u long, v long")
         assert {x.node: x.component for x in components(df).collect()} == {k: min(s) for k, s in parent.items()}
+
+
+def test_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "COLUMNS", 5)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):  # one family whose members are near the threshold to each other
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(len(t))] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(df, 4).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute(rows, 4)
