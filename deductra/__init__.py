@@ -1,0 +1 @@
+"""Deductive analytics on Spark: rules, ontologies and goals compiled to DataFrames."""
