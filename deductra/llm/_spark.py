@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Rows of a batch handed to Python; a batch is further bounded by bytes.
 BATCH_ROWS = 16384
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

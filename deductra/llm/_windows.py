@@ -252,7 +252,7 @@ def repeated(docs: DataFrame, tokens: Tokens, length: int, gram: int, both: bool
     runs_ = cut(found.mapInArrow(_settle_runs(both), "doc long, pl long, open byte"))
     open_ = runs_.where("open = 1").groupBy("doc").agg(F.collect_list("pl").alias("pls"))
     windows = read.join(open_, "doc").select("doc", "data", "pls").mapInArrow(_open_windows(tokens, length), "w long, doc long, pl long")
-    windows = windows.repartition("w").sortWithinPartitions("w", F.col("pl").bitwiseAND(_TAG), "doc", "pl")
+    windows = windows.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "w").sortWithinPartitions("w", F.col("pl").bitwiseAND(_TAG), "doc", "pl")
     single = windows.mapInArrow(_settle_windows(both), "doc long, pl long, open byte")
     marks = runs_.where("open = 0").unionByName(single)
     return marks.groupBy("doc").agg(F.collect_list("pl").alias("pls"))

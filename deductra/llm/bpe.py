@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -56,6 +57,9 @@ class Vocabulary:
         self.names = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+        kinds = [bytes([i]) for i in range(256)]
+        letters, digits, spaces = (b"".join(re.escape(c) for c in kinds if regex.fullmatch(p, c.decode("latin-1"))) for p in (r"\p{L}", r"\p{N}", r"\p{White_Space}"))
+        self._narrow = re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[" + letters + b"]+|[" + digits + b"]|[^" + spaces + letters + digits + b"]+")
         suffix = model["end_of_word_suffix"]
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -116,8 +120,10 @@ class Vocabulary:
             known = self._compatible[x, y] = self._follows(x, y, 1 << 30)
         return known
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word."""
+    def encode_word(self, word: str | bytes) -> list[int]:
+        """Ids of one word; bytes are Latin-1."""
+        if isinstance(word, bytes):
+            word = word.decode("latin-1")
         if word in self.special:
             return [self.special[word]]
         signs = word.encode("utf-8", "replace").decode("latin-1") + END
@@ -147,6 +153,16 @@ class Vocabulary:
         return out
 
 
+    def keys(self, text: str) -> list:
+        """Like ``words``; the words of a text within Latin-1 (all of it NFC) as Latin-1 bytes, which are found faster."""
+        if self._special is None or self._special.search(text) is None:
+            try:
+                return self._narrow.findall(text.lower().encode("latin-1"))
+            except UnicodeEncodeError:
+                pass
+        return self.words(text)
+
+
 def _normal(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
@@ -174,7 +190,7 @@ class _Forms(dict):
     def __init__(self, v: Vocabulary):
         self.v = v
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str | bytes):
         ids = self.v.encode_word(word)
         form = self[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.v.names[i] for i in ids]))
         return form
@@ -209,7 +225,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             for doc, text in zip(b.column(0), b.column(1)):
                 if len(forms) > CACHED:
                     forms.clear()
-                found = [forms[w] for w in v.words(text.as_py() or "")]
+                found = [forms[w] for w in v.keys(text.as_py() or "")]
                 n, ids, decoded = zip(*found) if found else ((), (), ())
                 out.append((doc.as_py(), sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()))
             cols = list(zip(*out)) or [[], [], [], []]

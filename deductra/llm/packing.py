@@ -30,7 +30,7 @@ from .bpe import default_path, vocabulary
 
 CAPACITY, END_ID = 4096, 2
 #: Words that a worker remembers at most.
-CACHED = 700_000
+CACHED = 1_000_000
 
 
 class WordIds(dict):
@@ -47,13 +47,13 @@ class WordIds(dict):
         names = self.v.names
         self.ends = np.array([names.get(i, "").endswith("</w>") or names.get(i) in self.v.special for i in range(max(names) + 1)])
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set) -> None:
         if len(self) > CACHED:
             self.clear()
         new = [w for w in words if w not in self]
-        for g in range(0, len(new), 20_000):
-            some = new[g : g + 20_000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for g in range(0, len(new), 1000):  # the library slows down on long texts
+            some = new[g : g + 1000]
+            ids = np.array(self.library.encode(" ".join([w if isinstance(w, str) else w.decode("latin-1") for w in some]), add_special_tokens=False).ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(some):  # a word that doesn't stand alone in the joined text
                 for w in some:
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         for b in batches:
             rows = []
             for g in range(0, b.num_rows, 64):
-                words = [known.v.words(t or "") for t in b.column(1).slice(g, 64).to_pylist()]
+                words = [known.v.keys(t or "") for t in b.column(1).slice(g, 64).to_pylist()]
                 known.learn(set().union(*words))
                 for doc, w in zip(b.column(0).slice(g, 64).to_pylist(), words):
                     data = b"".join([*map(known.__getitem__, w), last])

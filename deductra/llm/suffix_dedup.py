@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _windows as W
 from ._spark import NO_ID, doc_id, fresh, keyed, small_batches
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 
 
 def _strip(length: int, mode: str):

@@ -107,3 +107,13 @@ def test_pack(spark, library):
     total = sum(p.length for p in out)
     assert sorted(bins) == list(range(len(bins))) and len(bins) <= total / 64 * 1.05 + 1
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_latin_keys_are_the_words():
+    v = bpe.vocabulary(bpe.default_path())
+    r = random.Random(9)
+    for _ in range(500):
+        t = "".join(chr(r.randrange(256)) if r.random() < 0.5 else r.choice("abc's 'll 12") for _ in range(60))
+        keys = v.keys(t)
+        assert all(isinstance(k, bytes) for k in keys) and [k.decode("latin-1") for k in keys] == v.words(t)
+    assert v.keys("ő a") == v.words("ő a")
