@@ -24,7 +24,7 @@ not read by ``near_duplicates``, kept by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from .components import components
 WORDS, SIMILARITY, BANDS, ROWS = 5, 80, 32, 5
 #: Members compared by one task with one first document.
 GROUP = 256
+#: A text's UTF-8 -> its set: distinct 64-bit hashes, sorted.
+SetOf = Callable[[bytes], np.ndarray]
 #: Members of a block, and shared shingles of a matrix product: they bound a task's memory.
 BLOCK, COLUMNS = 1024, 2048
 U = np.uint64
@@ -71,7 +73,7 @@ def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
+def digest(s: np.ndarray) -> tuple[int, int]:
     one, two = T.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64), T.mix(s ^ U(0x14057B7EF767814F)).sum(dtype=np.uint64)
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
@@ -85,7 +87,7 @@ def _sign(words: int):
             known, rows = {}, []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingle_set(text.as_buffer(), words) if text.is_valid else np.zeros(0, np.uint64)
-                h = _digest(s)
+                h = digest(s)
                 if h not in known:
                     known[h] = band_keys(s) if len(s) else []
                 rows.append((doc, len(s), *h, known[h]))
@@ -115,7 +117,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[same]) for x in (key, lead, before, rep)], schema=_STAR)
 
 
-def _confirm(words: int, similarity: int):
+def _confirm(set_of: SetOf, similarity: int):
     """Over rows sorted by group: the first row's set against each other one, and each against its neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +132,8 @@ def _confirm(words: int, similarity: int):
         for b in batches:
             u, v = [], []
             for g, sub, rep, h1, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-                s = shingle_set(text.as_buffer(), words)
-                if _digest(s)[0] != h1:
+                s = set_of(text.as_buffer())
+                if digest(s)[0] != h1:
                     continue  # another row with this doc_id
                 if (g, sub) != group:
                     group, lead, prev = (g, sub), None, None
@@ -148,7 +150,7 @@ def _confirm(words: int, similarity: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, words: int, similarity: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
     """Confirmed links among ``pairs`` (u, v). The sets of one u's partners are streamed beside its own."""
     sizes = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"))
     members = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("sub"), F.col("v").alias("doc"))
@@ -156,10 +158,10 @@ def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, words: int, simi
     wanted = members.union(heads).join(reps.select(F.col("rep").alias("doc"), "h1"), "doc")
     rows = texts.join(wanted, "doc").select("u", "sub", "doc", "h1", "data")
     dealt = rows.repartition("u", "sub").sortWithinPartitions("u", "sub", F.col("doc") != F.col("u"), "doc")
-    return dealt.mapInArrow(_confirm(words, similarity), "u long, v long")
+    return dealt.mapInArrow(_confirm(set_of, similarity), "u long, v long")
 
 
-def _compare_blocks(words: int, similarity: int):
+def _compare_blocks(set_of: SetOf, similarity: int):
     """Over rows sorted by key and block pair: exact similarities of all members at once, as matrix products over shared shingles.
 
     Only links between different components are given, one a pair of components.
@@ -196,8 +198,8 @@ def _compare_blocks(words: int, similarity: int):
                         us += u
                         vs += v
                     group, sets, reps, comps = g, [], [], []
-                s = shingle_set(text.as_buffer(), words)
-                if _digest(s)[0] == h1:
+                s = set_of(text.as_buffer())
+                if digest(s)[0] == h1:
                     sets.append(s), reps.append(rep), comps.append(comp)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
         if len(sets) > 1:
@@ -207,26 +209,22 @@ def _compare_blocks(words: int, similarity: int):
     return run
 
 
-def _across(rest: DataFrame, texts: DataFrame, reps: DataFrame, words: int, similarity: int) -> DataFrame:
+def _across(rest: DataFrame, texts: DataFrame, reps: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
     """Links between components that share a bucket (key, rep, component, blocks). Large buckets are compared block by block."""
     rest = rest.join(reps.select("rep", "h1"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wanted = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("rep").alias("doc"), "component", "h1")
     rows = texts.join(wanted, "doc").select("key", "one", "two", "doc", "component", "h1", "data")
-    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc").mapInArrow(_compare_blocks(words, similarity), "u long, v long")
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc").mapInArrow(_compare_blocks(set_of, similarity), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept, a row for each row."""
-    small_batches(docs.sparkSession)
-    texts = keyed(docs).select("doc", F.col("text").cast("binary").alias("data"))
-    signed = cut(texts.mapInArrow(_sign(words), "doc long, n long, h1 long, h2 long, bands array<bigint>"))
-    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
-    reps = cut(classes)
-    # representatives' buckets
-    banded = signed.where("n > 0").select(F.col("doc").alias("rep"), "h1", "h2", "bands").join(reps.select("rep", "h1", "h2"), ["rep", "h1", "h2"])
-    buckets = banded.select(F.explode("bands").alias("key"), "rep").repartition("key").sortWithinPartitions("key", "rep")
-    stars = cut(buckets.mapInArrow(_stars, "key long, lead long, before long, rep long"))
+def groups(texts: DataFrame, reps: DataFrame, buckets: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
+    """node, component of the representatives (rep, h1, h2, n) linked by an exact similarity of their sets.
+
+    Only pairs that share one of ``buckets`` (key, rep) are looked at, and all of these, but
+    those that other links have connected already.
+    """
+    stars = cut(buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, lead long, before long, rep long"))
     sized = reps.select("rep", "n")
 
     def near_sizes(pairs: DataFrame) -> DataFrame:
@@ -235,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         return pairs.where(100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2")).select("u", "v")
 
     first = near_sizes(stars.select(F.col("lead").alias("u"), F.col("rep").alias("v")).union(stars.select("before", "rep")))
-    links = cut(_links(first, texts, reps, words, similarity))
+    links = cut(_links(first, texts, reps, set_of, similarity))
     found = cut(components(links))
     # buckets in which several components remain: across them every pair is looked at
     belongs = found.select(F.col("node").alias("rep"), "component")
@@ -243,15 +241,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     inside = inside.join(belongs, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     counted = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     rest = inside.join(counted.where("low < high").select("key", "blocks"), "key")
-    links2 = cut(_across(rest, texts, reps, words, similarity))
-    if links2.isEmpty():
-        final = found
-    else:
-        joined = links.union(links2)
-        final = cut(components(joined))
-    whole = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
+    links2 = cut(_across(rest, texts, reps, set_of, similarity))
+    return found if links2.isEmpty() else cut(components(links.union(links2)))
+
+
+def members(signed: DataFrame, reps: DataFrame, found: DataFrame, count: str) -> DataFrame:
+    """doc_id, ``count`` (a set's size), component_id and kept of every row of ``signed`` (doc, n, h1, h2)."""
+    whole = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
-    return out.select(doc_id(), F.col("n").alias("n_shingles"), doc_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(doc_id(), F.col("n").alias(count), doc_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept, a row for each row."""
+    small_batches(docs.sparkSession)
+    texts = keyed(docs).select("doc", F.col("text").cast("binary").alias("data"))
+    signed = cut(texts.mapInArrow(_sign(words), "doc long, n long, h1 long, h2 long, bands array<bigint>"))
+    reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
+    banded = signed.where("n > 0").select(F.col("doc").alias("rep"), "h1", "h2", "bands").join(reps.select("rep", "h1", "h2"), ["rep", "h1", "h2"])
+    buckets = banded.select(F.explode("bands").alias("key"), "rep")
+    return members(signed, reps, groups(texts, reps, buckets, lambda data: shingle_set(data, words), similarity), "n_shingles")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:

@@ -3,14 +3,19 @@
 A signature is a common word (an anchor) with the chain of the next ``CHAIN`` content words,
 that is words that aren't anchors. A document's fingerprint is the set of its signatures,
 hashed to 32 bits, sorted and written in base64; likeness is their Jaccard similarity.
-``near_pairs`` partitions fingerprints by set length, so that only neighbouring length
-classes can reach the threshold, and prunes what shares no rare signature.
+
+``near_duplicates`` compares all documents by the exact likeness of their sets. Sets are
+partitioned by length: classes are such that only equal or neighbouring ones can reach the
+threshold. In a class only sets that share one of their rarest signatures are looked at; of
+a set with n signatures these are the first n - ceil(threshold * n) + 1, so no link is lost.
+Hot signatures are compared block by block (see ``minhash.groups``); no pairs are emitted.
 
 Defined results. Words: letters and digits of the lowered text, everything else separates.
 No word: empty fingerprint. Words but no signature: the whole word sequence as the only
 one. Two empty fingerprints: likeness 1. Equal texts: equal fingerprints. Null text: empty.
 Order of documents: descending doc_id, nulls last, ties by text. One document: its own
-successor. Empty table: no rows. Other columns are not read.
+successor. Empty table: no rows. Other columns are not read. In ``near_duplicates`` an empty
+set is linked with nothing, and the smallest doc_id stands for its group.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import doc_id, keyed, small_batches
+from . import minhash
+from ._spark import cut, doc_id, keyed, small_batches
 
+SIMILARITY = 80
 CHAIN, PART_ROWS, MOST_PARTS = 3, 1000, 65_536
 ANCHORS = """
 a an the is are was were be been do did have has had can could will would there of and to in for on with at by from that this it as or but
@@ -156,3 +163,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     out = _in_order(docs).mapInArrow(run, "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(doc_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _set_of(chain: int):
+    return lambda data: signatures(bytes(data).decode("utf-8", "replace"), chain).astype(np.uint64)
+
+
+_SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+
+
+def _sets(chain: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _set_of(chain)
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                s = of(text.as_buffer()) if text.is_valid else np.zeros(0, np.uint64)
+                rows.append((doc, len(s), *minhash.digest(s), s.astype(np.int64)))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
+
+    return run
+
+
+def length_bounds(most: int, similarity: int = SIMILARITY) -> list[int]:
+    """Least lengths of the classes up to ``most``: no set of a class reaches the threshold with one two classes on."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(100 * out[-1] // similarity + 1)
+    return out
+
+
+def near_duplicates(docs: DataFrame, chain: int = CHAIN, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_signatures, component_id (smallest doc_id of the group) and kept, a row for each row."""
+    small_batches(docs.sparkSession)
+    texts = keyed(docs).select("doc", F.col("text").cast("binary").alias("data"))
+    signed = cut(texts.mapInArrow(_sets(chain), "doc long, n long, h1 long, h2 long, sigs array<bigint>"))
+    reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
+    most = reps.agg(F.max("n")).first()[0] or 0
+    own = signed.where("n > 0").select(F.col("doc").alias("rep"), "n", "h1", "h2", "sigs").join(reps.select("rep", "h1", "h2"), ["rep", "h1", "h2"])
+    spots = own.select("rep", "n", F.explode("sigs").alias("sig"))
+    ranked = spots.join(spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
+    first = F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)).cast("int") + 1
+    rare = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("spots"))
+    rare = rare.select("rep", "n", F.explode(F.slice("spots", 1, first.cast("int"))).alias("spot"))
+    bounds = F.array(*[F.lit(b) for b in length_bounds(most, similarity)])
+    length = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    keys = F.array(F.xxhash64("spot.sig", length), F.xxhash64("spot.sig", length - 1))
+    buckets = rare.select(F.explode(keys).alias("key"), "rep").distinct()
+    return minhash.members(signed, reps, minhash.groups(texts, reps, buckets, _set_of(chain), similarity), "n_signatures")

@@ -213,3 +213,42 @@ def test_spotsigs_parts(spark, monkeypatch):
     assert spotsigs.fingerprints(frame(spark, ROWS).limit(0)).count() == 0
     ties = spotsigs.fingerprints(frame(spark, ROWS)).collect()
     assert len(ties) == len(ROWS)
+
+
+def test_spotsigs_length_classes():
+    b = spotsigs.length_bounds(5000)
+    assert b[0] == 1 and b[-1] > 5000
+    place = lambda n: sum(x <= n for x in b)
+    for n in range(1, 4000):
+        assert place(n * 100 // 80) - place(n) <= 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_spotsigs_near_duplicates_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(40)] + ["the", "of", "is", "and"] * 5
+    rows = []
+    for _ in range(6):
+        base = r.choices(vocab, k=r.choice([4, 20, 80, 200]))
+        for _ in range(r.choice([1, 4, 20])):
+            t = list(base)
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = r.choice(vocab)
+            rows.append((len(rows) * 7 % 500 + 1, " ".join(t)))
+    rows += [(900, None), (901, ""), (902, "- -"), (903, "lone"), (904, "lone"), (905, rows[0][1].upper())]
+    sets = {d: brute_spot(t) if t else set() for d, t in rows}
+    best = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 80 * len(sets[a] | sets[b]) and best[a] != best[b]:
+                    best[a] = best[b] = min(best[a], best[b])
+                    changed = True
+    df = frame(spark, rows).selectExpr("*", "1 as rep", "'x' as sig").repartition(3)
+    out = spotsigs.near_duplicates(df).collect()
+    assert {x.doc_id: (x.n_signatures, x.component_id, x.kept) for x in out} == {d: (len(sets[d]), best[d], d == best[d]) for d in sets}
+    assert len({x.component_id for x in out}) < len(out) == len(rows)
+    assert spotsigs.near_duplicates(df.limit(0)).count() == 0
