@@ -152,7 +152,7 @@ class Engine:
             raise ValueError("a rule with only negated conjuncts needs a domain")
         return self.triples.select("s").distinct()
 
-    def _evaluate(self, rules: list[Rule], goal: Atom | None = None, seed: tuple[str, tuple] | None = None) -> tuple[Fixpoint, Result]:
+    def _evaluate(self, rules: list[Rule], goal: Atom | None = None, seed: tuple[str, tuple] | None = None, resume: tuple[dict, dict] | None = None) -> tuple[Fixpoint, Result]:
         rules = normalise(rules)
         second = self._second_order(rules)
         if second:
@@ -171,7 +171,7 @@ class Engine:
         negative = [r for r in rules if second and any(isinstance(a, Atom) and a.negated for a in r.atoms())]
         if not negative:
             fix = Fixpoint(self.spark, rules, lookup, **options)
-            return fix, fix.run(goal)
+            return fix, fix.extend(*resume) if resume else fix.run(goal)
         # rules over all triples can't be told apart by predicate: positive ones first, negative ones over their closure, positive ones again
         positive = [r for r in rules if r not in negative]
         first = Fixpoint(self.spark, positive, lookup, **options)
@@ -245,13 +245,22 @@ class Engine:
         return c.where(F.col("p") == T.TYPE).join(used, "s", "left_anti").select("s", "p", "o").union(c.where(F.col("p") != T.TYPE))
 
     def add_facts(self, pred: str, new: DataFrame) -> DataFrame:
-        """Incremental addition to a stored relation: returns the refreshed extent of every derived predicate's union with ``new``.
+        """Incremental addition to a stored relation; gives its new extent.
 
-        For positive programs this equals one closure over all facts at once.
+        After ``close`` of a positive program the closure goes on from what is known: only what
+        the new facts set off is evaluated. Other programs are closed again when next asked.
         """
-        have = self.relations.get(pred)
-        self.relations[pred] = new if have is None else have.union(new.toDF(*have.columns)).distinct()
+        have = self._lookup(Atom(pred, (None,) * len(new.columns)))
+        before, rules = self._closed, normalise(self.rules)
+        if have is not None:
+            new = new.toDF(*have.columns).subtract(have)
+        self.relations[pred] = new if have is None else have.union(new)
         self._closed = None
+        positive = not any(r.existential() or r.kind == "filter" or not r.head or any(a.negated for a in r.atoms()) for r in rules)
+        if before is not None and positive and not self.actions and not self._second_order(rules):
+            fresh = cut(new)
+            self.relations[pred] = fresh if have is None else have.union(fresh)
+            self._closed, _ = self._evaluate(self.rules, resume=(before.result.total, {pred: fresh}))
         return self.relations[pred]
 
     # goals

@@ -118,13 +118,32 @@ class Fixpoint:
             self.result.total[p] = new if had is None else had.union(new).distinct()
             self.result.rounds[p] = ([] if had is None else [(0, had)]) + [(1, new if had is None else new.subtract(had))]
 
-    def _loop(self, comp: set[str], rules: list[Rule], goal) -> None:
+    def extend(self, before: dict[str, DataFrame], delta: dict[str, DataFrame]) -> Result:
+        """The closure after an addition, from the one before it: only what ``delta`` sets off is evaluated.
+
+        For positive rules without existential heads. ``lookup`` gives the relations with the addition.
+        """
+        atoms = {a.pred: a for r in self.rules for a in (*r.head, *r.atoms()) if isinstance(a, Atom)}
+        heads = {h.pred for r in self.rules for h in r.head}
+        known: dict[str, list[DataFrame]] = {}
+        for p, a in atoms.items():
+            stored = self.lookup(a)
+            if p in heads:
+                self.result.asserted[p] = None if stored is None else _columns(stored).distinct()
+            parts = [df for df in (before.get(p) if p in heads else None, delta.get(p) if p in heads else stored) if df is not None]
+            known[p] = [_columns(_union([_columns(df) for df in parts])).distinct()] if parts else []
+        self._loop(set(atoms), self.rules, None, known, {p: _columns(df) for p, df in delta.items() if p in atoms})
+        self.result.total = {p: df for p, df in self.result.total.items() if p in heads}
+        return self.result
+
+    def _loop(self, comp: set[str], rules: list[Rule], goal, known: dict[str, list[DataFrame]] | None = None, delta: dict[str, DataFrame] | None = None) -> None:
         existential = [r for r in rules if r.existential()]
         limit = min(self.max_rounds, self.max_existential_rounds) if existential else self.max_rounds
-        known: dict[str, list[DataFrame]] = {p: [] if self.result.asserted[p] is None else [self.result.asserted[p]] for p in comp}
+        n = 0 if delta is None else 1
+        if known is None:
+            known = {p: [] if self.result.asserted[p] is None else [self.result.asserted[p]] for p in comp}
         self.result.rounds |= {p: [(0, df) for df in dfs] for p, dfs in known.items()}
-        delta: dict[str, DataFrame] = {}
-        n = 0
+        delta = delta or {}
 
         def total(p):
             return _union(known[p]) if known[p] else None
@@ -169,7 +188,7 @@ class Fixpoint:
         for p in known:
             df = total(p)
             if df is None:
-                df = self._empty(next(h for r in rules for h in r.head if h.pred == p), rules)
+                df = self._empty(next(a for r in rules for a in (*r.head, *r.atoms()) if isinstance(a, Atom) and a.pred == p), rules)
             self.result.total[p] = df
 
     def _empty(self, head: Atom, rules: list[Rule]) -> DataFrame:

@@ -436,11 +436,11 @@ for _name, _op, _sql in (
     QUERIES[_name] = _numeric(_op, 30)
     ORACLES[_name] = f"SELECT DISTINCT l_orderkey AS orderkey, l_linenumber AS linenumber FROM lineitem WHERE CAST(l_quantity AS BIGINT) {_sql} 30"
 for _name, _op, _value, _sql in (
-    ("op_b1_term_equal", "log:equalTo", "part 7", "p_name = 'part 7'"), ("op_b2_term_not_equal", "log:notEqualTo", "part 7", "p_name <> 'part 7'"),
-    ("op_b9_contains", "str:contains", "1", "contains(p_name, '1')"), ("op_b10_str_greater", "str:greaterThan", "p", "p_name > 'p'"), ("op_b11_str_less", "str:lessThan", "p", "p_name < 'p'"),
-    ("op_b12_equal_ignoring_case", "str:equalIgnoringCase", "PART 7", "lower(p_name) = 'part 7'"), ("op_b13_starts_with", "str:startsWith", "a", "starts_with(p_name, 'a')"), ("op_b13_ends_with", "str:endsWith", "3", "ends_with(p_name, '3')"),
-    ("op_b13_matches", "str:matches", "[0-9]5", "regexp_matches(p_name, '[0-9]5')"), ("op_b13_not_matches", "str:notMatches", "[0-9]5", "NOT regexp_matches(p_name, '[0-9]5')"),
-    ("op_b13_contains_ignoring_case", "str:containsIgnoringCase", "A", "contains(lower(p_name), 'a')"), ("op_b13_not_equal_ignoring_case", "str:notEqualIgnoringCase", "PART 7", "lower(p_name) <> 'part 7'"),
+    ("op_b1_term_equal", "log:equalTo", "blue gear", "p_name = 'blue gear'"), ("op_b2_term_not_equal", "log:notEqualTo", "blue gear", "p_name <> 'blue gear'"),
+    ("op_b9_contains", "str:contains", "ea", "contains(p_name, 'ea')"), ("op_b10_str_greater", "str:greaterThan", "p", "p_name > 'p'"), ("op_b11_str_less", "str:lessThan", "p", "p_name < 'p'"),
+    ("op_b12_equal_ignoring_case", "str:equalIgnoringCase", "BLUE Gear", "lower(p_name) = 'blue gear'"), ("op_b13_starts_with", "str:startsWith", "blue", "starts_with(p_name, 'blue')"), ("op_b13_ends_with", "str:endsWith", "rod", "ends_with(p_name, 'rod')"),
+    ("op_b13_matches", "str:matches", "^[a-c].* g", "regexp_matches(p_name, '^[a-c].* g')"), ("op_b13_not_matches", "str:notMatches", "^[a-c].* g", "NOT regexp_matches(p_name, '^[a-c].* g')"),
+    ("op_b13_contains_ignoring_case", "str:containsIgnoringCase", "A", "contains(lower(p_name), 'a')"), ("op_b13_not_equal_ignoring_case", "str:notEqualIgnoringCase", "BLUE Gear", "lower(p_name) <> 'blue gear'"),
     ("op_b13_str_not_greater", "str:notGreaterThan", "p", "p_name <= 'p'"), ("op_b13_str_not_less", "str:notLessThan", "p", "p_name >= 'p'"), ("op_b16_greater_or_equal", "str:greaterThanOrEqualTo", "p", "p_name >= 'p'"), ("op_b16_less_or_equal", "str:lessThanOrEqualTo", "p", "p_name <= 'p'"),
 ):
     QUERIES[_name] = _textual(_op, _value)
@@ -640,3 +640,34 @@ def op_d26_rdfs(spark, sf_dir):
 
 
 T_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+
+
+@query("SELECT '<urn:nation/' || a.n_nationkey || '>' AS s, '<urn:v#near>' AS p, '<urn:nation/' || b.n_nationkey || '>' AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def op_s8_rif(spark, sf_dir):
+    """OP-S8: a RIF-Core rule."""
+    from .sources import rif
+
+    iri = 'type="http://www.w3.org/2007/rif#iri"'
+    frame = lambda v, p, o: f"<Frame><object><Var>{v}</Var></object><slot><Const {iri}>urn:v#{p}</Const><Var>{o}</Var></slot></Frame>"
+    text = f"""<Document xmlns="http://www.w3.org/2007/rif#"><payload><Group><sentence><Forall><declare><Var>a</Var></declare><declare><Var>b</Var></declare><declare><Var>r</Var></declare><formula><Implies>
+        <if><And><formula>{frame("a", "inRegion", "r")}</formula><formula>{frame("b", "inRegion", "r")}</formula></And></if><then>{frame("a", "near", "b")}</then></Implies></formula></Forall></sentence></Group></payload></Document>"""
+    return _nations(spark, sf_dir).add_rules(rif.parse(text).rules).inferred()
+
+
+@query("""WITH n AS (SELECT '<urn:v#Nation' || n_nationkey || '>' AS x, '<urn:v#Region' || n_regionkey || '>' AS y FROM nation), c AS (SELECT x FROM n UNION SELECT y FROM n UNION SELECT '<urn:v#Place>' UNION SELECT '<urn:v#Local>')
+    SELECT x AS sub, x AS super FROM c UNION SELECT x, '<http://www.w3.org/2002/07/owl#Thing>' FROM c UNION SELECT y, '<urn:v#Place>' FROM n UNION SELECT x, '<urn:v#Local>' FROM n""")
+def op_d30_el_classification(spark, sf_dir):
+    """OP-D30 to OP-D32: classification of an EL TBox; a nation is part of a region, regions are places, parts of places are local."""
+    from .owl.elh import classify
+
+    pairs = tables(spark, sf_dir)("nation").select("n_nationkey", "n_regionkey").collect()  # a TBox: 25 axioms
+    some = lambda c: f"[ a owl:Restriction ; owl:onProperty v:partOf ; owl:someValuesFrom {c} ]"
+    text = "".join(f"v:Nation{n} rdfs:subClassOf {some(f'v:Region{r}')} . v:Region{r} rdfs:subClassOf v:Place .\n" for n, r in pairs)
+    return classify(spark, OWL_PREFIX + text + f"{some('v:Place')} rdfs:subClassOf v:Local .")
+
+
+@query("""SELECT DISTINCT o_custkey AS custkey, l_partkey AS partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3""")
+def op_g7_hybrid_goal(spark, sf_dir):
+    """OP-G7, OP-G9: a goal with a constant over a derived predicate that rests on stored ones."""
+    e = rules(engine(spark, sf_dir), Atom("bought", (C, P, N)) <= Atom("orderCust", (O, C)) & Atom("orderedPart", (O, P)) & Atom("custNation", (C, N)))
+    return e.query(Atom("bought", (C, P, 3)), "magic").toDF("custkey", "partkey")
