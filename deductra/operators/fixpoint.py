@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from ..plans.ir import Atom, Rule, Var
 from ..plans.rewrite import double_linear, normalise
 from .storage import cut
 
+#: Jobs of a round that run at once.
+CONCURRENT = 8
 Action = Callable[[DataFrame], "dict[str, DataFrame] | None"]
 
 
@@ -162,14 +165,17 @@ class Fixpoint:
                         for p, df in self._fire(r, lambda a, d: delta[a.pred] if d else total(a.pred) if a.pred in comp else self._relation(a), i):
                             found.setdefault(p, []).append(df)
             n += 1
-            fresh: dict[str, DataFrame] = {}
-            for p, parts in found.items():
+            for p in found:
                 known.setdefault(p, [])
+
+            def settle(p: str, parts: list[DataFrame]) -> tuple[str, DataFrame, bool]:
                 new = _union(parts)
-                new = new.subtract(total(p)) if known[p] else new.distinct()
-                new = cut(new)
-                if not new.isEmpty():
-                    fresh[p] = new
+                new = cut(new.subtract(total(p)) if known[p] else new.distinct())
+                return p, new, new.isEmpty()
+
+            with ThreadPoolExecutor(CONCURRENT) as pool:  # a round's predicates don't depend on each other
+                settled = [f.result() for f in [pool.submit(settle, p, parts) for p, parts in found.items()]]
+            fresh = {p: df for p, df, empty in settled if not empty}
             for p, df in fresh.items():
                 known[p].append(df)
                 self.result.rounds.setdefault(p, []).append((n, df))
