@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +68,40 @@ def test_shard_sizes_are_near_equal(spark, sf_dir):
     assert sharding.shard(out.selectExpr("doc_id", "'' as text").limit(0)).count() == 0
 
 
+def test_cuts_are_balanced_under_the_least_capacity():
+    r = random.Random(2)
+    for _ in range(200):
+        sizes = [(i * 2, r.choice([1, 2, 3, 40])) for i in range(r.randint(1, 9))]
+        k = r.randint(1, 5)
+        ends = sharding.cuts(sizes, k)
+        loads = [sum(s for g, s in sizes if a < g <= b) for a, b in zip([-1, *ends], ends)]
+        splits = [[sum(s for _, s in sizes[a:b]) for a, b in zip([0, *c], [*c, len(sizes)])] for m in range(min(k, len(sizes))) for c in itertools.combinations(range(1, len(sizes)), m)]
+        best = min((max(x), sum(y * y for y in x)) for x in splits)
+        assert len(ends) == min(k, len(sizes)) and ends[-1] == sizes[-1][0] and (max(loads), sum(y * y for y in loads)) == best
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1, 1 / 3])
+def test_a_heavy_group_leaves_no_shard_empty(share):
+    r = random.Random(3)
+    sizes = [(g, r.randint(5000, 10000)) for g in range(1 << 16)]
+    rest = sum(s for _, s in sizes)
+    sizes[30000] = 30000, int(rest * share / (1 - share))
+    total = sum(s for _, s in sizes)
+    ends = np.array(sharding.cuts(sizes, 40))
+    loads = np.bincount(np.searchsorted(ends, [g for g, _ in sizes]), [s for _, s in sizes], 40)
+    others = np.delete(loads, loads.argmax())
+    even = total * (1 - share) / 39
+    assert len(ends) == 40 and loads.min() > 0
+    assert share < 1 / 40 or loads.max() == sizes[30000][1]
+    assert others.max() < 1.1 * even and others.min() > 0.9 * even
+
+
+def test_shard_with_a_hot_text(spark):
+    rows = [(i, f"text {i} " * 5) for i in range(4000)] + [(5000 + i, "hot " * 15) for i in range(2000)]
+    loads = sorted(r[1] for r in sharding.shard(frame(spark, rows)).groupBy("shard").sum("size").collect())
+    assert len(loads) == 40 and loads[-1] == 2000 * 76 and loads[-2] < 1.15 * sum(loads[:-1]) / 39
+
+
 def test_slots_of_a_hot_key(spark):
     df = spark.range(1000).selectExpr("id", "if(id < 900, 0, id % 7) as k")
     got = defaultdict(list)
