@@ -3,8 +3,7 @@
 _PREFIXES = """@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 @prefix owl: <http://www.w3.org/2002/07/owl#> .
 """
-#: RDF and RDFS entailment.
-RDFS = _PREFIXES + """
+_COMMON = _PREFIXES + """
 { ?a ?prop ?b } => { ?prop rdf:type rdf:Property } .
 { ?prop rdfs:domain ?cls . ?a ?prop ?b } => { ?a rdf:type ?cls } .
 { ?prop rdfs:range ?cls . ?a ?prop ?b } => { ?b rdf:type ?cls } .
@@ -17,8 +16,12 @@ RDFS = _PREFIXES + """
 { ?prop rdf:type rdfs:ContainerMembershipProperty } => { ?prop rdfs:subPropertyOf rdfs:member } .
 { ?cls rdf:type rdfs:Datatype } => { ?cls rdfs:subClassOf rdfs:Literal } .
 """
-#: Property kinds, equality, restrictions and lists beyond RDFS (the pD* fragment).
-PD = RDFS + """
+#: RDF and RDFS entailment.
+RDFS = _COMMON + """
+{ ?a ?prop ?b } => { ?a rdf:type rdfs:Resource . ?b rdf:type rdfs:Resource } .
+"""
+#: Property kinds, equality, restrictions and lists beyond RDFS (the pD* fragment, which doesn't type all nodes as resources).
+PD = _COMMON + """
 { ?p a owl:FunctionalProperty . ?a ?p ?b . ?a ?p ?c . ?b <http://www.w3.org/2000/10/swap/log#notEqualTo> ?c } => { ?b owl:sameAs ?c } .
 { ?p a owl:InverseFunctionalProperty . ?a ?p ?c . ?b ?p ?c . ?a <http://www.w3.org/2000/10/swap/log#notEqualTo> ?b } => { ?a owl:sameAs ?b } .
 { ?p a owl:SymmetricProperty . ?a ?p ?b } => { ?b ?p ?a } .

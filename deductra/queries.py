@@ -631,12 +631,17 @@ def op_d12_some_in_head(spark, sf_dir):
     UNION SELECT '<urn:region/' || n_regionkey || '>', c.o FROM nation CROSS JOIN (SELECT '<urn:v#Region>' AS o UNION ALL SELECT '<urn:v#Place>') c""")
 def op_d26_rdfs(spark, sf_dir):
     """OP-D24, OP-D26: the RDFS rules over mapped triples."""
+    return _rdfs_types(spark, sf_dir).where("o like '<urn:v#%'")
+
+
+def _rdfs_types(spark, sf_dir):
+    """All classes of nations and regions under the RDFS rules, rdfs:Resource among them."""
     from .owl.packs import RDFS
 
     e = _nations(spark, sf_dir)
     e.load_n3(OWL_PREFIX + "v:inRegion rdfs:domain v:Nation ; rdfs:range v:Region . v:Nation rdfs:subClassOf v:Place . v:Region rdfs:subClassOf v:Place .")
     e.load_n3(RDFS)
-    return e.closure().where(f"p = '{T_TYPE}' and (s like '<urn:nation%' or s like '<urn:region%')").where("o like '<urn:v#%'").select("s", "o")
+    return e.closure().where(f"p = '{T_TYPE}' and (s like '<urn:nation%' or s like '<urn:region%')").select("s", "o")
 
 
 T_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"

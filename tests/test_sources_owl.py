@@ -8,7 +8,7 @@ from deductra.engine import Engine
 from deductra.owl import expr as E
 from deductra.owl.axioms import rules_from_owl
 from deductra.owl.inclusion import close_memberships
-from deductra.owl.packs import INCONSISTENT, PD
+from deductra.owl.packs import INCONSISTENT, PD, RDFS
 from deductra.plans.ir import Atom, Var, canonical
 from deductra.sources import n3, rdf, rdfxml
 from deductra.sparql import SparqlError
@@ -110,6 +110,20 @@ def test_pd_pack(spark):
     assert sum(df.count() for df in e.violations().values()) > 0
 
 
+def test_rdfs_pack_types_all_nodes(spark):
+    e = Engine.from_n3(spark, PRE + 'v:a v:p v:b . v:b v:q "x" .')
+    e.load_n3(RDFS)
+    got = {tuple(r) for r in e.closure().collect()}
+    resource = "<http://www.w3.org/2000/01/rdf-schema#Resource>"
+    assert {s for s, p, o in got if (p, o) == (T.TYPE, resource)} == {x for s, _, o in got for x in (s, o)} >= {"<urn:v#a>", "<urn:v#b>", '"x"', resource}
+
+
+def test_rdfs_types_of_nations_and_regions(spark, sf_dir):
+    got = {tuple(r) for r in queries._rdfs_types(spark, sf_dir).collect()}
+    nodes = [("nation", i, "Nation") for i in range(25)] + [("region", i, "Region") for i in range(5)]
+    assert got == {(f"<urn:{t}/{i}>", o) for t, i, c in nodes for o in (f"<urn:v#{c}>", "<urn:v#Place>", "<http://www.w3.org/2000/01/rdf-schema#Resource>")}
+
+
 def test_inclusion_join(spark):
     m = spark.createDataFrame([("x", "A"), ("y", "B")], "m string, c string")
     up = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C")], "a string, b string")
