@@ -20,8 +20,54 @@ _COMMON = _PREFIXES + """
 RDFS = _COMMON + """
 { ?a ?prop ?b } => { ?a rdf:type rdfs:Resource . ?b rdf:type rdfs:Resource } .
 """
+#: Support rules for what the translation of axioms to rules (owl/axioms.py) leaves out.
+SUPPORT = _PREFIXES + """
+{ ?one rdfs:subClassOf ?two . ?two rdfs:subClassOf ?three } => { ?one rdfs:subClassOf ?three } .
+{ ?c owl:equivalentClass ?d } => { ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?c } .
+{ ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?c } => { ?c owl:equivalentClass ?d } .
+{ ?c owl:disjointWith ?d . ?a a ?c . ?b a ?d } => { ?a owl:differentFrom ?b } .
+{ ?p owl:inverseOf ?q . ?p a owl:InverseFunctionalProperty } => { ?q a owl:FunctionalProperty } .
+{ ?p owl:inverseOf ?q . ?p a owl:FunctionalProperty } => { ?q a owl:InverseFunctionalProperty } .
+{ ?c owl:oneOf ?l . ?l rdf:first ?a . ?l rdf:rest rdf:nil . ?p rdfs:domain ?c } => { ?p a owl:InverseFunctionalProperty } .
+{ ?c owl:oneOf ?l . ?l rdf:first ?a . ?l rdf:rest rdf:nil . ?p rdfs:range ?c } => { ?p a owl:FunctionalProperty } .
+{ ?a owl:differentFrom ?b } => { ?b owl:differentFrom ?a } .
+{ ?c owl:complementOf ?d } => { ?d owl:complementOf ?c } .
+{ ?c owl:disjointWith ?d } => { ?d owl:disjointWith ?c } .
+"""
+#: Axiomatic triples of pD*.
+PD_AXIOMS = _PREFIXES + """
+rdf:type a rdf:Property . rdf:first a rdf:Property ; rdfs:domain rdf:List . rdf:rest a rdf:Property ; rdfs:domain rdf:List ; rdfs:range rdf:List .
+rdf:value a rdf:Property . rdf:nil a rdf:List . rdfs:isDefinedBy rdfs:subPropertyOf rdfs:seeAlso .
+rdf:Alt rdfs:subClassOf rdfs:Container . rdf:Bag rdfs:subClassOf rdfs:Container . rdf:Seq rdfs:subClassOf rdfs:Container .
+rdfs:ContainerMembershipProperty rdfs:subClassOf rdf:Property . rdf:XMLLiteral rdfs:subClassOf rdfs:Literal ; a rdfs:Datatype . rdfs:Datatype rdfs:subClassOf rdfs:Class .
+owl:FunctionalProperty rdfs:subClassOf rdf:Property . owl:InverseFunctionalProperty rdfs:subClassOf rdf:Property .
+owl:SymmetricProperty rdfs:subClassOf rdf:Property . owl:TransitiveProperty rdfs:subClassOf rdf:Property . owl:sameAs a rdf:Property .
+owl:inverseOf a rdf:Property ; rdfs:domain rdf:Property ; rdfs:range rdf:Property . owl:equivalentClass a rdf:Property ; rdfs:domain owl:Class ; rdfs:range owl:Class .
+owl:equivalentProperty a rdf:Property ; rdfs:domain rdf:Property ; rdfs:range rdf:Property . owl:onProperty rdfs:domain owl:Restriction ; rdfs:range rdf:Property .
+owl:hasValue rdfs:domain owl:Restriction . owl:someValuesFrom rdfs:domain owl:Restriction ; rdfs:range rdfs:Class . owl:allValuesFrom rdfs:domain owl:Restriction ; rdfs:range rdfs:Class .
+owl:differentFrom a rdf:Property , owl:SymmetricProperty . owl:disjointWith rdfs:domain owl:Class ; rdfs:range owl:Class ; a owl:SymmetricProperty . owl:complementOf a owl:SymmetricProperty .
+"""
+#: Classes given by lists, members of lists, and sub-classes and sub-properties from equality.
+LISTS = _PREFIXES + """
+{ ?l rdf:first ?a } => { ?a <urn:list#in> ?l } .
+{ ?l rdf:rest ?m . ?a <urn:list#in> ?m } => { ?a <urn:list#in> ?l } .
+{ ?c owl:oneOf ?l . ?a <urn:list#in> ?l } => { ?a a ?c } .
+{ ?c owl:unionOf ?l . ?d <urn:list#in> ?l . ?a a ?d } => { ?a a ?c } .
+{ ?c owl:intersectionOf ?l . ?d <urn:list#in> ?l } => { ?c rdfs:subClassOf ?d } .
+{ ?c owl:intersectionOf ?l . ?a <urn:list#inAllOf> ?l } => { ?a a ?c } .
+{ ?l rdf:first ?d . ?l rdf:rest rdf:nil . ?a a ?d } => { ?a <urn:list#inAllOf> ?l } .
+{ ?l rdf:first ?d . ?l rdf:rest ?m . ?a a ?d . ?a <urn:list#inAllOf> ?m } => { ?a <urn:list#inAllOf> ?l } .
+{ ?l rdf:first ?d . ?a a ?d } => { ?a <urn:list#inSomeOf> ?l } .
+{ ?l rdf:rest ?m . ?a <urn:list#inSomeOf> ?m } => { ?a <urn:list#inSomeOf> ?l } .
+{ ?l rdf:first ?a } => { ?l a rdf:List } .
+{ ?l rdf:rest ?m } => { ?l a rdf:List } .
+{ ?l a rdf:List } => { ?l <urn:list#subListOf> ?l } .
+{ ?l rdf:rest ?m . ?n <urn:list#subListOf> ?m } => { ?n <urn:list#subListOf> ?l } .
+{ ?c a owl:Class . ?c owl:sameAs ?d } => { ?c rdfs:subClassOf ?d } .
+{ ?p a rdf:Property . ?p owl:sameAs ?q } => { ?p rdfs:subPropertyOf ?q } .
+"""
 #: Property kinds, equality, restrictions and lists beyond RDFS (the pD* fragment, which doesn't type all nodes as resources).
-PD = _COMMON + """
+PD = _COMMON + SUPPORT + PD_AXIOMS + """
 { ?p a owl:FunctionalProperty . ?a ?p ?b . ?a ?p ?c . ?b <http://www.w3.org/2000/10/swap/log#notEqualTo> ?c } => { ?b owl:sameAs ?c } .
 { ?p a owl:InverseFunctionalProperty . ?a ?p ?c . ?b ?p ?c . ?a <http://www.w3.org/2000/10/swap/log#notEqualTo> ?b } => { ?a owl:sameAs ?b } .
 { ?p a owl:SymmetricProperty . ?a ?p ?b } => { ?b ?p ?a } .
@@ -33,21 +79,13 @@ PD = _COMMON + """
 { ?p owl:inverseOf ?q . ?a ?p ?b } => { ?b ?q ?a } .
 { ?p owl:inverseOf ?q . ?a ?q ?b } => { ?b ?p ?a } .
 { ?c owl:equivalentClass ?d } => { ?d owl:equivalentClass ?c . ?c rdfs:subClassOf ?d } .
-{ ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?c } => { ?c owl:equivalentClass ?d } .
 { ?p owl:equivalentProperty ?q } => { ?q owl:equivalentProperty ?p . ?p rdfs:subPropertyOf ?q } .
 { ?p rdfs:subPropertyOf ?q . ?q rdfs:subPropertyOf ?p } => { ?p owl:equivalentProperty ?q } .
 { ?r owl:hasValue ?v . ?r owl:onProperty ?p . ?a ?p ?v } => { ?a a ?r } .
 { ?r owl:hasValue ?v . ?r owl:onProperty ?p . ?a a ?r } => { ?a ?p ?v } .
 { ?r owl:someValuesFrom ?c . ?r owl:onProperty ?p . ?a ?p ?b . ?b a ?c } => { ?a a ?r } .
 { ?r owl:allValuesFrom ?c . ?r owl:onProperty ?p . ?a a ?r . ?a ?p ?b } => { ?b a ?c } .
-{ ?c owl:disjointWith ?d . ?a a ?c . ?b a ?d } => { ?a owl:differentFrom ?b } .
-{ ?a owl:differentFrom ?b } => { ?b owl:differentFrom ?a } .
-{ ?l rdf:first ?a } => { ?a <urn:list#in> ?l } .
-{ ?l rdf:rest ?m . ?a <urn:list#in> ?m } => { ?a <urn:list#in> ?l } .
-{ ?c owl:oneOf ?l . ?a <urn:list#in> ?l } => { ?a a ?c } .
-{ ?c owl:unionOf ?l . ?d <urn:list#in> ?l . ?a a ?d } => { ?a a ?c } .
-{ ?c owl:intersectionOf ?l . ?d <urn:list#in> ?l } => { ?c rdfs:subClassOf ?d } .
-"""
+""" + LISTS
 #: Denials: what must not hold.
 INCONSISTENT = _PREFIXES + """
 { ?a owl:sameAs ?b . ?a owl:differentFrom ?b } => false .

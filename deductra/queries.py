@@ -630,7 +630,7 @@ def op_d12_some_in_head(spark, sf_dir):
 @query("""SELECT '<urn:nation/' || n_nationkey || '>' AS s, c.o AS o FROM nation CROSS JOIN (SELECT '<urn:v#Nation>' AS o UNION ALL SELECT '<urn:v#Place>') c
     UNION SELECT '<urn:region/' || n_regionkey || '>', c.o FROM nation CROSS JOIN (SELECT '<urn:v#Region>' AS o UNION ALL SELECT '<urn:v#Place>') c""")
 def op_d26_rdfs(spark, sf_dir):
-    """OP-D24, OP-D26: the RDFS rules over mapped triples."""
+    """OP-D26: the RDFS rules over mapped triples."""
     return _rdfs_types(spark, sf_dir).where("o like '<urn:v#%'")
 
 

@@ -8,7 +8,7 @@ from deductra.engine import Engine
 from deductra.owl import expr as E
 from deductra.owl.axioms import rules_from_owl
 from deductra.owl.inclusion import close_memberships
-from deductra.owl.packs import INCONSISTENT, PD, RDFS
+from deductra.owl.packs import INCONSISTENT, LISTS, PD, PD_AXIOMS, RDFS, SUPPORT
 from deductra.plans.ir import Atom, Var, canonical
 from deductra.sources import n3, rdf, rdfxml
 from deductra.sparql import SparqlError
@@ -124,6 +124,38 @@ def test_rdfs_types_of_nations_and_regions(spark, sf_dir):
     assert got == {(f"<urn:{t}/{i}>", o) for t, i, c in nodes for o in (f"<urn:v#{c}>", "<urn:v#Place>", "<http://www.w3.org/2000/01/rdf-schema#Resource>")}
 
 
+def test_support_rules(spark):
+    e = Engine.from_n3(spark, PRE + """v:f owl:inverseOf v:g ; a owl:FunctionalProperty . v:h owl:inverseOf v:i ; a owl:InverseFunctionalProperty .
+        v:One owl:oneOf ( v:only ) . v:Two owl:oneOf ( v:x v:y ) . v:d1 rdfs:domain v:One . v:r1 rdfs:range v:One . v:d2 rdfs:domain v:Two . v:A owl:complementOf v:B . v:C owl:disjointWith v:D . v:c a v:C . v:d a v:D .""")
+    e.load_n3(SUPPORT)
+    got = {tuple(r) for r in e.inferred().collect()}
+    w, o = "<urn:v#%s>", "<http://www.w3.org/2002/07/owl#%s>"
+    kinds = {(w % "g", "InverseFunctionalProperty"), (w % "i", "FunctionalProperty"), (w % "d1", "InverseFunctionalProperty"), (w % "r1", "FunctionalProperty")}
+    assert got == {(s, T.TYPE, o % k) for s, k in kinds} | {(w % a, o % p, w % b) for a, p, b in (("B", "complementOf", "A"), ("D", "disjointWith", "C"), ("c", "differentFrom", "d"), ("d", "differentFrom", "c"))}
+
+
+def test_pd_lists_and_equal_classes(spark):
+    e = Engine.from_n3(spark, PRE + """v:I owl:intersectionOf ( v:A v:B ) . v:x a v:A , v:B . v:y a v:A .
+        v:K a owl:Class ; owl:sameAs v:L . v:p a rdf:Property ; owl:sameAs v:q .""")
+    e.load_n3(LISTS)
+    got = {tuple(r) for r in e.closure().collect()}
+    w, r = "<urn:v#%s>", "<http://www.w3.org/2000/01/rdf-schema#%s>"
+    assert {s for s, p, c in got if (p, c) == (T.TYPE, w % "I")} == {w % "x"}
+    assert {(w % "K", r % "subClassOf", w % "L"), (w % "p", r % "subPropertyOf", w % "q")} <= got
+    cells = {s for s, p, _ in got if p.endswith("#rest>")}
+    assert len(cells) == 2 and {s for s, p, c in got if p == T.TYPE and c.endswith("#List>")} == cells
+    assert sum(p == "<urn:list#subListOf>" for _, p, _ in got) == 2 + 1
+
+
+def test_pd_axioms_are_loaded(spark):
+    e = Engine.from_n3(spark, PRE)
+    e.load_n3(PD_AXIOMS)
+    got = {tuple(r) for r in e.closure().collect()}
+    r, o = "<http://www.w3.org/2000/01/rdf-schema#%s>", "<http://www.w3.org/2002/07/owl#%s>"
+    assert {(r % "isDefinedBy", r % "subPropertyOf", r % "seeAlso"), (o % "disjointWith", T.TYPE, o % "SymmetricProperty")} <= got
+    assert len(got) == 43 and all(part in PD for part in (SUPPORT, PD_AXIOMS, LISTS))
+
+
 def test_inclusion_join(spark):
     m = spark.createDataFrame([("x", "A"), ("y", "B")], "m string, c string")
     up = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "C")], "a string, b string")
