@@ -13,12 +13,17 @@ control string in the text (and of each control string that already has backslas
 level 2 does so after each "[" and "<". Taking one backslash out of such places undoes it.
 The parser knows neither source nor level: the level-2 form is tagged by "[ESC]".
 
-A conversation is streamed: its turns arrive sorted and digests are updated turn by turn, so
-a conversation with most of the table's rows needs no more memory than its longest turn.
+A turn is rendered where it is read, before the shuffle, beside a digest of its source. The
+turns of a conversation then stand in order in one task, which joins them, reparses the joined
+text and compares the recovered turns to the digests; where they differ, the joined turns are
+escaped one level further and compared again. It does so in stretches of ``STRETCH``
+characters that end with a turn, where the parser has nothing to remember, and updates the
+digests of the conversation, so one with most of the table's rows needs no more memory.
 
 Defined results. Null text: empty. Null role: empty role name. Turns with equal numbers:
-ordered by role, then text; null turns first. Repeated rows: repeated turns. Null conv_id:
-one conversation of its own. Empty table: no rows. Other columns are not read.
+ordered by role, then formatted text; null turns first. Repeated rows: repeated turns. Null
+conv_id: one conversation of its own. Very long texts: a task holds one and its stretch.
+Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 
 from ._spark import small_batches
 
+#: Characters that are joined and reparsed at once.
+STRETCH = 1 << 20
 CONTROL = ["[INST]", "[/INST]", "</s>", "[ROLE]", "[SEP]", "[/ROLE]", "[ESC]"]
 _ANY = re.compile("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROL))
 _ESCAPED = re.compile("|".join(re.escape(c[0]) + r"\\+" + re.escape(c[1:]) for c in CONTROL))
@@ -102,44 +109,70 @@ def parse(formatted: str) -> Iterator[tuple[str, str, tuple[int, int]]]:
         at = m.end()
 
 
+def source_digest(role: str, text: str) -> int:
+    """64 bits of a turn's role and text."""
+    return int.from_bytes(hashlib.blake2b(f"{len(role)} {role}{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def join_turns(pieces: list[str], sources: list[int]) -> tuple[str, list[tuple[str, str]]]:
+    """The joined text of rendered turns and what the parser recovers from it: the turns with these digests."""
+    for level in (0, 1, 2):
+        whole = "".join(pieces)
+        try:
+            found = [t[:2] for t in parse(whole)]
+            if [source_digest(*t) for t in found] == sources:
+                return whole, found
+        except ValueError:
+            pass
+        pieces = [_frame(role, escape(text, min(2, level + 1))) for p in pieces for role, text, _ in parse(p)]
+    raise ValueError("turns that can't be joined")
+
+
 class _Reader:
-    """Digests of one conversation, from its formatted turns alone."""
+    """Digests of one conversation, from its formatted text alone."""
 
     def __init__(self, conv):
         self.conv, self.turns, self.all, self.loss, self.loss_chars, self.chars = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
+        self.pieces, self.sources, self.held = [], [], 0
+
+    def add(self, piece: str, source: int) -> None:
+        self.pieces.append(piece), self.sources.append(source)
+        self.held += len(piece)
+        if self.held >= STRETCH:
+            self.read()
 
-    def read(self, formatted: str) -> None:
-        for role, text, _ in parse(formatted):
+    def read(self) -> None:
+        formatted, turns = join_turns(self.pieces, self.sources)
+        for role, text in turns:
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
             if role == "assistant":
                 self.loss.update(text.encode("utf-8", "replace"))
                 self.loss_chars += len(text)
         self.chars += len(formatted)
+        self.pieces, self.sources, self.held = [], [], 0
 
     def row(self):
+        self.read()
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, formatted text of each turn; a conversation is their concatenation in order."""
+    """conv_id, turn, role, formatted text and source digest of each turn; a conversation is the concatenation in order."""
     small_batches(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [render(r or "", t or "") for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], names=["conv_id", "turn", "role", "formatted"])
+            turns = [(r or "", t or "") for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            out = [render(*t) for t in turns]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string()), pa.array([source_digest(*t) for t in turns], pa.int64())], names=["conv_id", "turn", "role", "formatted", "source"])
 
-    return _rows(conversations).mapInArrow(run, "conv_id long, turn long, role string, formatted string")
-
-
-def _rows(conversations: DataFrame) -> DataFrame:
-    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, formatted string, source long")
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted text."""
-    small_batches(conversations.sparkSession)
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted conversations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -151,16 +184,16 @@ def digests(conversations: DataFrame) -> DataFrame:
         open_: _Reader | None = None
         for b in batches:
             done = []
-            for conv, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for conv, formatted, source in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "source"))):
                 if open_ is None or open_.conv != conv:
                     if open_ is not None:
                         done.append(open_.row())
                     open_ = _Reader(conv)
-                open_.read(render(role or "", text or ""))
+                open_.add(formatted, source)
             if done:
                 yield table(done)
         if open_ is not None:
             yield table([open_.row()])
 
-    dealt = _rows(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = format_turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
