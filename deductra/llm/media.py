@@ -7,8 +7,8 @@ is a digest of its members, so a task that runs again writes the same file. Rows
 the content's digest and shard, offset and length. Equal contents that several
 tasks stored resolve to the least (shard, offset), by an aggregate over narrow rows.
 
-Reading back goes by byte ranges: the header's 33 bytes fill the metadata columns, and
-only a reader of the samples fetches the rest. Texts never travel through a shuffle.
+Reading back goes by byte ranges: the header's 33 bytes alone fill the metadata columns, and
+only then a reader of the samples fetches the rest. Texts never travel through a shuffle.
 
 Defined results. Null or empty text: one unit of bytes 255. Equal texts: equal digests,
 payloads and places. Null ids and repeated rows: a row each. Empty table: no rows. Other
@@ -18,7 +18,7 @@ columns are not read. Very long texts: the image grows in height; a task holds o
 from __future__ import annotations
 
 import hashlib
-import io
+import itertools
 import struct
 import tarfile
 import uuid
@@ -35,7 +35,6 @@ from ._spark import cut, doc_id, keyed, shared_dir, small_batches
 
 UNIT, WIDTH = 576, 576
 HEADER = 33
-SPREAD = 16
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -94,7 +93,7 @@ def _store(where: str):
 
 
 def store(docs: DataFrame, where: str | None = None) -> DataFrame:
-    """Write all payloads into tar shards under ``where``; doc, n_bytes, digest, shard, offset, length."""
+    """Write all payloads into tar shards under ``where``; doc, n_bytes, digest, shard, offset, length, and home, the shard of the task that read the row."""
     spark = docs.sparkSession
     where = where or f"{shared_dir(spark)}/deductra/media-{uuid.uuid4().hex}"
     small_batches(spark)
@@ -137,8 +136,10 @@ def store(docs: DataFrame, where: str | None = None) -> DataFrame:
             )
 
     rows = cut(keyed(docs).mapInArrow(run, "doc long, n_bytes long, digest string, shard string, offset long, length long"))
+    # where each content's copies are read from; joined by content and shard, so that a content with a third of all rows is dealt by its many shards
     first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    out = rows.select("doc", "n_bytes", "digest").join(first, "digest").select("doc", "n_bytes", "digest", "place.*")
+    places = rows.select("digest", F.col("shard").alias("home")).distinct().join(first, "digest")
+    out = rows.select("doc", "n_bytes", "digest", F.col("shard").alias("home")).join(places, ["digest", "home"]).select("doc", "n_bytes", "digest", "place.*", "home")
     out._deductra_media = where
     return out
 
@@ -159,16 +160,29 @@ def _ranges(where: str, rows, length=None) -> Iterator[bytes]:
             source.close()
 
 
+def _places(b: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length"))))
+
+
 def metadata(stored: DataFrame, where: str) -> DataFrame:
-    """Width, height and bits of each row by header-only range reads."""
+    """Width, height and bits of each row by header-only range reads; rows that follow one with the same place share its read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, None
         for b in batches:
-            heads = [header(x) for x in _ranges(where, zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length"))), HEADER)]
-            cols = list(zip(*heads)) or [[], [], []]
+            places = _places(b)
+            new = [p != q for p, q in zip(places, [last, *places])]
+            heads = _ranges(where, itertools.compress(places, new), HEADER)
+            rows = []
+            for fresh_ in new:
+                if fresh_:
+                    found = header(next(heads))
+                rows.append(found)
+            last = places[-1] if places else last
+            cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int32()) for c in cols)], names=[*b.schema.names, "width", "height", "bits"])
 
-    return stored.mapInArrow(run, "doc long, n_bytes long, digest string, shard string, offset long, length long, width int, height int, bits int")
+    return stored.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema) + ", width int, height int, bits int")
 
 
 def features(docs: DataFrame, where: str | None = None) -> DataFrame:
@@ -180,8 +194,8 @@ def features(docs: DataFrame, where: str | None = None) -> DataFrame:
         last, found = None, None
         for b in batches:
             out = []
-            docs_, sizes = b.column("doc").to_pylist(), b.column("n_bytes").to_pylist()
-            places = list(zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length"))))
+            docs_, sizes, shapes = b.column("doc").to_pylist(), b.column("n_bytes").to_pylist(), list(zip(b.column("width").to_pylist(), b.column("height").to_pylist()))
+            places = _places(b)
             new = [i for i, p in enumerate(places) if p != (places[i - 1] if i else last)]
             images = _ranges(where, [places[i] for i in new])
             starts = set(new)
@@ -189,15 +203,14 @@ def features(docs: DataFrame, where: str | None = None) -> DataFrame:
                 if i in starts:
                     image = next(images)
                     samples = decode(image)
-                    width, height, _ = header(image)
-                    found = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples), width, height)
-                out.append((docs_[i], sizes[i], *found))
+                    found = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples))
+                out.append((docs_[i], sizes[i], *found, *shapes[i]))
                 last = p
             cols = list(zip(*out)) or [[]] * 10
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"])
 
-    # sorted by place: a task reads each content once; rows of a hot content are spread over SPREAD tasks
-    placed = stored.repartition("shard", F.floor(F.col("offset") / F.lit(1 << 20)), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("shard", "offset")
-    out = placed.mapInArrow(run, "doc long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
+    # sorted by place: a task reads each content once; rows of a hot content stay as spread as they were read
+    placed = stored.repartition("shard", F.floor(F.col("offset") / F.lit(1 << 20)), "home").sortWithinPartitions("shard", "offset")
+    out = metadata(placed, where).mapInArrow(run, "doc long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
     return out.select(doc_id(), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
