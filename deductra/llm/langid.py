@@ -7,13 +7,14 @@ languages is chosen by penalised likelihood (half the log of the 3-grams' number
 further proportion). The language with the largest proportion is predicted, the proportion is the score.
 
 Fitting reads at most about ``sample`` labelled documents of each language, picked by a
-hash of their ids (a documented bound); prediction reads every document whole. What
-reaches the driver is one count per language and class.
+hash of their ids, and learns the ``langs`` most frequent languages (documented bounds of
+the fit); prediction reads every document whole. What reaches the driver is one count
+per learned language and class, and the model that is broadcast has 2**BITS numbers for each.
 
 Defined results. Null text or no letter: ``und``, score 0. Nothing to learn from: ``und``.
 Ties: the language whose name sorts first. Null lang: not learned from. Null doc_id: not
 held out, not learned from. Rows are independent, so repeated rows repeat their result.
-Empty table: no rows. Other columns are not read.
+Very long texts: a task holds one text and 2**BITS counts. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ._spark import NO_ID, doc_id, small_batches
 
 BITS, SAMPLE, SMOOTH, ROUNDS = 15, 3000, 0.5, 12
+#: Languages learned at most: the most frequent ones.
+LANGS = 500
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
@@ -94,10 +97,10 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, smooth: float = SMOOTH) -> tuple[np.ndarray, list[str]]:
+def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, smooth: float = SMOOTH, langs: int = LANGS) -> tuple[np.ndarray, list[str]]:
     """Probabilities by class and language, and the languages, from ``doc_id``, ``text`` and non-null ``lang``."""
     rows = labelled.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not totals:
         return np.zeros((1 << bits, 0)), []
     rate = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
@@ -148,8 +151,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return out.select(doc_id(), "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text has no language: ``und``, or no language with a proportion of ``least``."""
+def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows whose text has no language (``und``); a mixture of several languages stays."""
     model, names = fit(docs.where(~held_out()), sample)
     spark = docs.sparkSession
     small_batches(spark)
@@ -159,7 +162,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names = shared.value
         for b in batches:
-            keep = [lang != "und" and score >= least for lang, score in (predict_one(t.as_py(), model, names) for t in b.column(place))]
+            keep = [predict_one(t.as_py(), model, names)[0] != "und" for t in b.column(place)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
