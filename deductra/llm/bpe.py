@@ -14,6 +14,7 @@ cache of them.
 Defined results. Null text: no tokens, empty decoded text. Special tokens inside texts are
 encoded as such. Lone surrogates can't occur in Spark strings. Rows are independent: ties,
 repeated rows, null ids and further columns need no rule; an empty table gives an empty one.
+Very long texts: a task holds one text's words and ids.
 """
 
 from __future__ import annotations

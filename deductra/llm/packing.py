@@ -6,11 +6,12 @@ numbers, whatever the corpus holds. On these a bitset subset-sum program fills o
 at a time: it takes the longest piece, then the multiset of the other lengths whose sum
 comes closest to the capacity, backtracked into counts, and repeats that filling as often
 as the counts allow. Pieces find their places by their number among those of equal length,
-a range join with the plan, whose size the capacity bounds.
+a range join with the plan, which grows with the capacity and hardly with the corpus.
 
 Defined results. Null or empty text: the end id alone. Ties and repeated rows: pieces of
 equal length are interchangeable; each row is packed. Null doc_id: packed, given back null.
-An empty table: no pieces. Other columns are not read.
+Very long texts: cut into pieces like all others; a task
+holds one text's ids. An empty table: no pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from ._spark import cut, doc_id, keyed, slots, small_batches
 from .bpe import default_path, vocabulary
 
 CAPACITY, END_ID = 4096, 2
+#: Bytes of a plan that is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 16 << 20
 #: Words that a worker remembers at most.
 CACHED = 1_000_000
 
@@ -158,7 +161,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     table = pa.table({c: layout[:, i] for i, c in enumerate(["length", "first", "stop", "base", "each", "at"])})
     placed = spark.createDataFrame(table)
     numbered = slots(cut_pieces, "length", ["doc", "start", "ids_crc32", "doc_tokens"], out="number")
-    joined = numbered.join(F.broadcast(placed), "length").where("number >= first and number < stop")
+    placed = F.broadcast(placed) if layout.nbytes <= BROADCAST else placed
+    joined = numbered.join(placed, "length").where("number >= first and number < stop")
     return joined.select(
         doc_id(), "start", "length", "ids_crc32", "doc_tokens",
         F.expr("base + (number - first) div each").alias("sequence_id"),
