@@ -5,21 +5,27 @@ maximum, both equal for two sets with a probability of their Jaccard similarity;
 hash evaluations make 160 values, banded 32 x 5 (a pair at 0.8 shares no band with a
 probability of 3e-6).
 
-Equal shingle sets are one class, represented by its smallest doc_id. In each band bucket
-the representatives, sorted, are compared with the first and with their neighbour, which
-is linear in the bucket. Candidates are confirmed on full shingle sets, streamed beside
-their bucket's first document, split over several tasks where that has many. Confirmed
-links make components. Buckets in which several components remain are then compared whole,
-block against block, by matrix products that give all exact similarities of a block pair
-and hand on one link for each two components. So every pair that shares a bucket is
-confirmed, refuted, or already connected, and no pairs are emitted. Texts are shuffled,
-sets are not.
+Words are told apart by 128-bit BLAKE2b digests, shingles by a 64-bit value that is not linear
+in its words, sets by the digest of their sorted shingles. Equal sets are one
+class, represented by its smallest document. In each band bucket the representatives,
+sorted, are compared with the first and with their neighbour, which is linear in the
+bucket; a bucket is dealt by ranges, so a hot one lies in many tasks, whose first members
+are compared in turn. Candidates of unlike sizes are left out at once, the others are
+confirmed on full shingle sets, streamed beside their bucket's first document, ``GROUP`` of
+them a task. Confirmed links make components. Buckets in which several components remain
+are then compared whole, block against block, by matrix products that give all exact
+similarities of a block pair and hand on one link for each two components. So every pair
+that shares a bucket is confirmed, refuted, or already connected, and no pairs are
+emitted. Texts are shuffled, sets are not. A block holds about ``BLOCK`` documents and
+``SHINGLES`` shingles.
 
 Defined results. Null or empty text, or no words: empty set, linked with nothing, kept.
 Fewer words than a shingle: the whole sequence as one. Ties: the smallest doc_id stands for
-its group. Null doc_id: one document before all others. Rows that repeat a doc_id are one
-document per text; equal rows get equal results. Empty table: no rows. Other columns are
-not read by ``near_duplicates``, kept by ``keep_one``.
+its group. Null doc_id: before all others. Texts that share a doc_id, nulls included, are
+documents of their own, in the order of a hash of the text; rows that repeat doc_id and text
+get equal results, and ``keep_one`` keeps one of them. Very long texts: a task holds the sets
+of two documents, or one block's. Empty table: no rows. Other columns are not read by
+``near_duplicates``, kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import NO_ID, cut, doc_id, fresh, keyed, small_batches
+from ._spark import Documents, cut, fresh, scratch, small_batches
 from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 80, 32, 5
@@ -40,16 +46,14 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 80, 32, 5
 GROUP = 256
 #: A text's UTF-8 -> its set: distinct 64-bit hashes, sorted.
 SetOf = Callable[[bytes], np.ndarray]
-#: Members of a block, and shared shingles of a matrix product: they bound a task's memory.
-BLOCK, COLUMNS = 1024, 2048
+#: Members and shingles of a block, and shared shingles of a matrix product: they bound a task's memory.
+BLOCK, SHINGLES, COLUMNS = 1024, 1 << 20, 2048
 U = np.uint64
 
 
 def shingle_set(data: bytes, words: int) -> np.ndarray:
     """Distinct hashed shingles of a text, A-Z lowered, sorted."""
-    raw = T.LOWER[np.frombuffer(data, np.uint8)]
-    starts, ends = T.word_spans(raw)
-    return T.shingles(T.word_hashes(raw, starts, ends), words)
+    return T.shingles(T.word_digests(T.words(bytes(data).lower()))[:, 0], words)
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +77,6 @@ def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key.view(np.int64)
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    one, two = T.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64), T.mix(s ^ U(0x14057B7EF767814F)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
-
-
 _SIGNED = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -87,7 +86,7 @@ def _sign(words: int):
             known, rows = {}, []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 s = shingle_set(text.as_buffer(), words) if text.is_valid else np.zeros(0, np.uint64)
-                h = digest(s)
+                h = T.set_digest(s)
                 if h not in known:
                     known[h] = band_keys(s) if len(s) else []
                 rows.append((doc, len(s), *h, known[h]))
@@ -97,24 +96,48 @@ def _sign(words: int):
     return run
 
 
-_STAR = pa.schema([("key", pa.int64()), ("lead", pa.int64()), ("before", pa.int64()), ("rep", pa.int64())])
+_STAR = pa.schema([("key", pa.int64()), ("lead", pa.int64()), ("before", pa.int64()), ("rep", pa.int64()), ("lead_n", pa.int64()), ("n", pa.int64()), ("sub", pa.int64()), ("to_lead", pa.bool_()), ("to_before", pa.bool_()), ("edge", pa.bool_())])
+
 
+def _stars(similarity: int):
+    """Over (key, rep, n) sorted: each further member of a bucket with the first and with its neighbour, and whether their sizes allow a link.
+
+    ``edge``: the first members of a partition's first and last bucket, which other partitions may share.
+    """
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (key, rep) sorted: each further member of a bucket with the first and with its neighbour."""
-    key0 = lead0 = prev0 = None
-    for b in batches:
-        key, rep = (c.to_numpy() for c in b.columns)
-        if not len(key):
-            continue
-        same = np.empty(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[0] = key0 is not None and key[0] == key0
-        begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
-        lead = np.where(begin >= 0, rep[begin], lead0 if lead0 is not None else 0)
-        before = np.concatenate(([prev0 if prev0 is not None else 0], rep[:-1]))
-        key0, lead0, prev0 = key[-1], lead[-1], rep[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[same]) for x in (key, lead, before, rep)], schema=_STAR)
+    def near(x, y):
+        return 100 * np.minimum(x, y) >= similarity * np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, its first member with its size, the member before with its size, members so far
+        top = True
+        for b in batches:
+            key, rep, n = (c.to_numpy() for c in b.columns)
+            if not len(key):
+                continue
+            if last is None:
+                last = (~key[0], 0, 0, 0, 0, 0)
+            same = np.empty(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
+            same[0] = key[0] == last[0]
+            index = np.arange(len(key))
+            begin = np.maximum.accumulate(np.where(same, -1, index))
+            inside = begin >= 0
+            lead, lead_n = np.where(inside, rep[begin], last[1]), np.where(inside, n[begin], last[2])
+            nth = np.where(inside, index - begin, index + last[5])
+            before, before_n = np.concatenate(([last[3]], rep[:-1])), np.concatenate(([last[4]], n[:-1]))
+            to_lead, to_before = near(n, lead_n), near(n, before_n) & (nth > 1)
+            last = (key[-1], lead[-1], lead_n[-1], rep[-1], n[-1], nth[-1] + 1)
+            cols = [x[same] for x in (key, lead, before, rep, lead_n, n, nth // GROUP, to_lead, to_before, np.zeros(len(key), bool))]
+            if top:
+                top = False
+                cols = [np.concatenate((np.array([x]), c)) for x, c in zip((key[0], rep[0], rep[0], rep[0], n[0], n[0], 0, False, False, True), cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STAR)], schema=_STAR)
+        if last is not None:
+            row = (last[0], last[1], last[1], last[1], last[2], last[2], 0, False, False, True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _STAR)], schema=_STAR)
+
+    return run
 
 
 def _confirm(set_of: SetOf, similarity: int):
@@ -131,10 +154,8 @@ def _confirm(set_of: SetOf, similarity: int):
 
         for b in batches:
             u, v = [], []
-            for g, sub, rep, h1, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+            for g, sub, rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 s = set_of(text.as_buffer())
-                if digest(s)[0] != h1:
-                    continue  # another row with this doc_id
                 if (g, sub) != group:
                     group, lead, prev = (g, sub), None, None
                 if rep == g:
@@ -142,7 +163,7 @@ def _confirm(set_of: SetOf, similarity: int):
                     continue
                 if lead is not None and linked(lead, s):
                     u.append(g), v.append(rep)
-                if prev is not None and prev[0] != rep and linked(prev[1], s):
+                if prev is not None and linked(prev[1], s):
                     u.append(prev[0]), v.append(rep)
                 prev = rep, s
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -150,13 +171,11 @@ def _confirm(set_of: SetOf, similarity: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, reps: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
-    """Confirmed links among ``pairs`` (u, v). The sets of one u's partners are streamed beside its own."""
-    sizes = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"))
-    members = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("sub"), F.col("v").alias("doc"))
-    heads = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), F.col("u").alias("doc"))
-    wanted = members.union(heads).join(reps.select(F.col("rep").alias("doc"), "h1"), "doc")
-    rows = texts.join(wanted, "doc").select("u", "sub", "doc", "h1", "data")
+def _links(pairs: DataFrame, texts: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
+    """Confirmed links among ``pairs`` (u, v, sub). The sets of one u's partners with one sub are streamed beside its own."""
+    heads = pairs.select("u", "sub").distinct().select("u", "sub", F.col("u").alias("doc"))
+    wanted = pairs.select("u", "sub", F.col("v").alias("doc")).union(heads)
+    rows = texts.join(wanted, "doc").select("u", "sub", "doc", "data")
     dealt = rows.repartition("u", "sub").sortWithinPartitions("u", "sub", F.col("doc") != F.col("u"), "doc")
     return dealt.mapInArrow(_confirm(set_of, similarity), "u long, v long")
 
@@ -191,16 +210,14 @@ def _compare_blocks(set_of: SetOf, similarity: int):
         group, sets, reps, comps = None, [], [], []
         for b in batches:
             us, vs = [], []
-            for *g, rep, comp, h1, text in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6)):
+            for *g, rep, comp, text in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5)):
                 if g != group:
                     if len(sets) > 1:
                         u, v = links(sets, reps, comps)
                         us += u
                         vs += v
                     group, sets, reps, comps = g, [], [], []
-                s = set_of(text.as_buffer())
-                if digest(s)[0] == h1:
-                    sets.append(s), reps.append(rep), comps.append(comp)
+                sets.append(set_of(text.as_buffer())), reps.append(rep), comps.append(comp)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
         if len(sets) > 1:
             u, v = links(sets, reps, comps)
@@ -209,62 +226,76 @@ def _compare_blocks(set_of: SetOf, similarity: int):
     return run
 
 
-def _across(rest: DataFrame, texts: DataFrame, reps: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
+def _across(rest: DataFrame, texts: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
     """Links between components that share a bucket (key, rep, component, blocks). Large buckets are compared block by block."""
-    rest = rest.join(reps.select("rep", "h1"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("rep").alias("doc"), "component", "h1")
-    rows = texts.join(wanted, "doc").select("key", "one", "two", "doc", "component", "h1", "data")
+    wanted = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("rep").alias("doc"), "component")
+    rows = texts.join(wanted, "doc").select("key", "one", "two", "doc", "component", "data")
     return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc").mapInArrow(_compare_blocks(set_of, similarity), "u long, v long")
 
 
-def groups(texts: DataFrame, reps: DataFrame, buckets: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
-    """node, component of the representatives (rep, h1, h2, n) linked by an exact similarity of their sets.
+def groups(texts: DataFrame, buckets: DataFrame, set_of: SetOf, similarity: int) -> DataFrame:
+    """node, component of the documents of ``buckets`` (key, rep, n: size) linked by an exact similarity of their sets.
 
-    Only pairs that share one of ``buckets`` (key, rep) are looked at, and all of these, but
-    those that other links have connected already.
+    Only pairs that share a bucket are looked at, and all of these, but those that other
+    links have connected already. ``texts`` has ``doc``, each once, and ``data``.
     """
-    stars = cut(buckets.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, lead long, before long, rep long"))
-    sized = reps.select("rep", "n")
-
-    def near_sizes(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = pairs.join(sized.select(F.col("rep").alias("u"), F.col("n").alias("n1")), "u").join(sized.select(F.col("rep").alias("v"), F.col("n").alias("n2")), "v")
-        return pairs.where(100 * F.least("n1", "n2") >= similarity * F.greatest("n1", "n2")).select("u", "v")
-
-    first = near_sizes(stars.select(F.col("lead").alias("u"), F.col("rep").alias("v")).union(stars.select("before", "rep")))
-    links = cut(_links(first, texts, reps, set_of, similarity))
+    star = "key long, lead long, before long, rep long, lead_n long, n long, sub long, to_lead boolean, to_before boolean, edge boolean"
+    inner = cut(buckets.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_stars(similarity), star))
+    edges = inner.where("edge").select("key", "rep", "n").distinct()  # at most two a partition
+    outer = edges.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars(similarity), star)
+    stars = cut(inner.union(outer))
+    pairs = stars.where("to_lead").select(F.col("lead").alias("u"), F.col("rep").alias("v"), "sub").union(stars.where("to_before").select("before", "rep", "sub"))
+    pairs = pairs.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("sub").alias("sub"))
+    links = cut(_links(pairs, texts, set_of, similarity))
     found = cut(components(links))
     # buckets in which several components remain: across them every pair is looked at
     belongs = found.select(F.col("node").alias("rep"), "component")
-    inside = stars.select("key", "lead").distinct().select("key", F.col("lead").alias("rep")).union(stars.select("key", "rep"))
-    inside = inside.join(belongs, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    counted = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    leads = stars.select("key", F.col("lead").alias("rep"), F.col("lead_n").alias("n")).distinct()
+    inside = leads.union(stars.where("rep <> lead").select("key", "rep", "n"))
+    inside = inside.join(belongs, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(SHINGLES))).cast("int")
+    counted = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks"))
     rest = inside.join(counted.where("low < high").select("key", "blocks"), "key")
-    links2 = cut(_across(rest, texts, reps, set_of, similarity))
+    links2 = cut(_across(rest, texts, set_of, similarity))
     return found if links2.isEmpty() else cut(components(links.union(links2)))
 
 
-def members(signed: DataFrame, reps: DataFrame, found: DataFrame, count: str) -> DataFrame:
-    """doc_id, ``count`` (a set's size), component_id and kept of every row of ``signed`` (doc, n, h1, h2)."""
+def members(signed: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, n (a set's size) and component of every row of ``signed`` (doc, n, h1, h2)."""
     whole = reps.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
-    return out.select(doc_id(), F.col("n").alias(count), doc_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return signed.select("doc", "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+
+
+def named(own: Documents, found: DataFrame, count: str) -> DataFrame:
+    """doc_id, ``count``, component_id and kept of every row of the table, out of doc, n and component."""
+    out = own.named(own.expanded(found), doc_id="doc", component_id="component")
+    return out.select("doc_id", F.col("n").alias(count), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _classes(own: Documents, words: int, similarity: int) -> DataFrame:
+    """doc, n and component of every document."""
+    small_batches(own.docs.sparkSession)
+    texts = own.texts().select("doc", F.col("text").cast("binary").alias("data"))
+    with scratch():
+        signed = cut(texts.mapInArrow(_sign(words), "doc long, n long, h1 long, h2 long, bands array<bigint>"))
+        reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
+        banded = signed.select(F.col("doc").alias("rep"), "bands").join(reps.select("rep", "n"), "rep")
+        buckets = banded.select(F.explode("bands").alias("key"), "rep", "n")
+        return cut(members(signed, reps, groups(texts, buckets, lambda data: shingle_set(data, words), similarity)), keep=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept, a row for each row."""
-    small_batches(docs.sparkSession)
-    texts = keyed(docs).select("doc", F.col("text").cast("binary").alias("data"))
-    signed = cut(texts.mapInArrow(_sign(words), "doc long, n long, h1 long, h2 long, bands array<bigint>"))
-    reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
-    banded = signed.where("n > 0").select(F.col("doc").alias("rep"), "h1", "h2", "bands").join(reps.select("rep", "h1", "h2"), ["rep", "h1", "h2"])
-    buckets = banded.select(F.explode("bands").alias("key"), "rep")
-    return members(signed, reps, groups(texts, reps, buckets, lambda data: shingle_set(data, words), similarity), "n_shingles")
+    own = Documents(docs)
+    return named(own, _classes(own, words, similarity), "n_shingles")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that stand behind a smaller doc_id of their near-duplicate group."""
+    """``docs`` without the documents that stand behind another one of their near-duplicate group."""
+    own = Documents(docs)
     key = fresh(docs, "_doc")
-    gone = near_duplicates(docs, words, similarity).where("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key)).distinct()
-    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, key, "left_anti").select(*docs.columns)
+    gone = _classes(own, words, similarity).where("doc <> component").select(F.col("doc").alias(key))
+    left = own.tagged(key).join(gone, key, "left_anti")
+    return (left if own.ranks is None else left.dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,8 @@
 
 A signature is a common word (an anchor) with the chain of the next ``CHAIN`` content words,
 that is words that aren't anchors. A document's fingerprint is the set of its signatures,
-hashed to 32 bits, sorted and written in base64; likeness is their Jaccard similarity.
+hashed to 64 bits out of its words' BLAKE2b digests, sorted and written in base64; likeness is
+their Jaccard similarity.
 
 ``near_duplicates`` compares all documents by the exact likeness of their sets. Sets are
 partitioned by length: classes are such that only equal or neighbouring ones can reach the
@@ -15,7 +16,8 @@ No word: empty fingerprint. Words but no signature: the whole word sequence as t
 one. Two empty fingerprints: likeness 1. Equal texts: equal fingerprints. Null text: empty.
 Order of documents: descending doc_id, nulls last, ties by text. One document: its own
 successor. Empty table: no rows. Other columns are not read. In ``near_duplicates`` an empty
-set is linked with nothing, and the smallest doc_id stands for its group.
+set is linked with nothing, and the smallest doc_id stands for its group; texts that share a
+doc_id are documents of their own. Very long texts: a task holds two documents at a time.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from . import minhash
-from ._spark import cut, doc_id, keyed, small_batches
+from ._spark import Documents, cut, doc_id, keyed, scratch, small_batches
 
 SIMILARITY = 80
 CHAIN, PART_ROWS, MOST_PARTS = 3, 1000, 65_536
@@ -43,48 +45,34 @@ der die das ein eine einen einem einer ist sind war und zu den dem des von mit a
 el los las una unos es son fue y por para con que se su al lo como más o no si
 """.split()
 
-_LOWERED = T.LOWER.copy()
-_GAP = np.ones(256, bool)
-_GAP[48:58] = _GAP[65:91] = _GAP[97:123] = False
-_GAP[128:] = False
-
-
-def _hash_word(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(T.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
-_ANCHOR_HASHES = np.unique(np.array([_hash_word(w) for w in set(ANCHORS)], np.uint64))
+_ANCHORS = {w.encode() for w in ANCHORS}
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
-    """The sorted distinct signatures of a text, 32 bits each."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    starts, ends = T.word_spans(raw, _GAP)
-    words = T.word_hashes(raw, starts, ends)
-    if not len(words):
-        return np.zeros(0, "<u4")
-    at = np.searchsorted(_ANCHOR_HASHES, words)
-    common = _ANCHOR_HASHES[np.minimum(at, len(_ANCHOR_HASHES) - 1)] == words
-    content = words[~common]
+    """The sorted distinct signatures of a text, 64 bits each."""
+    words = T.alphanumeric(text.lower().encode("utf-8", "replace"))
+    if not words:
+        return np.zeros(0, np.uint64)
+    digests = T.word_digests(words)[:, 0]
+    common = np.fromiter(map(_ANCHORS.__contains__, words), bool, len(words))
+    content = digests[~common]
     follow = np.cumsum(~common)  # content words up to and with each place: the next one's number
     spots = np.flatnonzero(common)
     spots = spots[follow[spots] + chain <= len(content)]
-    if len(spots):
-        h = words[spots]
-        for j in range(chain):
-            h = T.mix(h * T.U(0x9E3779B97F4A7C15) + content[follow[spots] + j])
-    else:
-        h = T.shingles(words, len(words))
-    return np.unique((T.mix(h) >> T.U(32)).astype("<u4"))
+    if not len(spots):
+        return T.shingles(digests, len(digests))
+    h = digests[spots]
+    for j in range(chain):
+        h = T.join(h, content[follow[spots] + j])
+    return np.unique(h)
 
 
 def fingerprint(s: np.ndarray) -> str:
-    return base64.b64encode(s.astype("<u4").tobytes()).decode()
+    return base64.b64encode(s.astype("<u8").tobytes()).decode()
 
 
 def unpack(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u4")
+    return np.frombuffer(base64.b64decode(text), "<u8")
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -166,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _set_of(chain: int):
-    return lambda data: signatures(bytes(data).decode("utf-8", "replace"), chain).astype(np.uint64)
+    return lambda data: signatures(bytes(data).decode("utf-8", "replace"), chain)
 
 
 _SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.list_(pa.int64()))])
@@ -179,7 +167,7 @@ def _sets(chain: int):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 s = of(text.as_buffer()) if text.is_valid else np.zeros(0, np.uint64)
-                rows.append((doc, len(s), *minhash.digest(s), s.astype(np.int64)))
+                rows.append((doc, len(s), *T.set_digest(s), s.view(np.int64)))
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
 
@@ -197,18 +185,21 @@ def length_bounds(most: int, similarity: int = SIMILARITY) -> list[int]:
 def near_duplicates(docs: DataFrame, chain: int = CHAIN, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_signatures, component_id (smallest doc_id of the group) and kept, a row for each row."""
     small_batches(docs.sparkSession)
-    texts = keyed(docs).select("doc", F.col("text").cast("binary").alias("data"))
-    signed = cut(texts.mapInArrow(_sets(chain), "doc long, n long, h1 long, h2 long, sigs array<bigint>"))
-    reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
-    most = reps.agg(F.max("n")).first()[0] or 0
-    own = signed.where("n > 0").select(F.col("doc").alias("rep"), "n", "h1", "h2", "sigs").join(reps.select("rep", "h1", "h2"), ["rep", "h1", "h2"])
-    spots = own.select("rep", "n", F.explode("sigs").alias("sig"))
-    ranked = spots.join(spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
-    first = F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)).cast("int") + 1
-    rare = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("spots"))
-    rare = rare.select("rep", "n", F.explode(F.slice("spots", 1, first.cast("int"))).alias("spot"))
-    bounds = F.array(*[F.lit(b) for b in length_bounds(most, similarity)])
-    length = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
-    keys = F.array(F.xxhash64("spot.sig", length), F.xxhash64("spot.sig", length - 1))
-    buckets = rare.select(F.explode(keys).alias("key"), "rep").distinct()
-    return minhash.members(signed, reps, minhash.groups(texts, reps, buckets, _set_of(chain), similarity), "n_signatures")
+    all_ = Documents(docs)
+    texts = all_.texts().select("doc", F.col("text").cast("binary").alias("data"))
+    with scratch():
+        signed = cut(texts.mapInArrow(_sets(chain), "doc long, n long, h1 long, h2 long, sigs array<bigint>"))
+        reps = cut(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
+        most = reps.agg(F.max("n")).first()[0] or 0
+        own = signed.select(F.col("doc").alias("rep"), "sigs").join(reps.select("rep", "n"), "rep")
+        spots = own.select("rep", "n", F.explode("sigs").alias("sig"))
+        ranked = spots.join(spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
+        first = F.col("n") - F.ceil(F.col("n") * similarity / F.lit(100)).cast("int") + 1
+        rare = ranked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("spots"))
+        rare = rare.select("rep", "n", F.explode(F.slice("spots", 1, first.cast("int"))).alias("spot"))
+        bounds = F.array(*[F.lit(b) for b in length_bounds(most, similarity)])
+        length = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+        keys = F.array(F.xxhash64("spot.sig", length), F.xxhash64("spot.sig", length - 1))
+        buckets = cut(rare.select(F.explode(keys).alias("key"), "rep", "n").distinct())
+        found = cut(minhash.members(signed, reps, minhash.groups(texts, buckets, _set_of(chain), similarity)), keep=True)
+    return minhash.named(all_, found, "n_signatures")
