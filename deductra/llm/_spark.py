@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,13 +42,16 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs no recomputation of what came before.
-    Inside ``scratch`` the table lives to the block's end, unless ``keep``.
+    Inside ``scratch`` the table lives to the block's end, unless ``keep``. The shuffle files
+    behind it are let go: Spark deletes them when the JVM collects what no plan refers to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deductra/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._deductra_path = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     if _scratch and not keep:
         _scratch[-1].append(out)
     return out
