@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ NO_ID = -(2**63)
 #: Rows of a batch handed to Python; a batch is further bounded by bytes.
 BATCH_ROWS = 16384
 BATCH_BYTES = 1 << 20
+#: Delete a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables of the open ``scratch`` blocks.
 _scratch: list[list[DataFrame]] = []
 
@@ -43,15 +44,18 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
 
     The lineage ends there: a lost executor costs no recomputation of what came before.
     Inside ``scratch`` the table lives to the block's end, unless ``keep``. The shuffle files
-    behind it are let go: Spark deletes them when the JVM collects what no plan refers to.
+    behind it, which nothing reads any more, are deleted at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deductra/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._deductra_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     if _scratch and not keep:
         _scratch[-1].append(out)
     return out
