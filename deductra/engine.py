@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from . import terms as T
 from .functions.builtins import Registry
+from .operators import local
 from .operators.fixpoint import Action, Fixpoint, Result
 from .operators.storage import cut
+from .plans.analyze import NotStratified, strata
 from .plans.compile import bindings
-from .plans.ir import And, Atom, Builtin, Rule, Var, flatten
+from .plans.ddl import Catalog, classify
+from .plans.ir import And, Atom, Builtin, Rule, Var, canonical, flatten
 from .plans.rewrite import magic, normalise
 from .sources import n3
 from .sources.rdf import facts_df
@@ -24,10 +27,12 @@ class Engine:
     """Named relations (typed tables) and triples, with rules over both.
 
     Relations keep the column types of their DataFrames. A predicate that is stored and
-    derived is *hybrid*: its stored facts are part of its extent.
+    derived is *hybrid*: its stored facts are part of its extent. ``policy`` says otherwise:
+    ``harsh`` refuses such predicates, ``base`` leaves out their rules, ``derived`` their facts.
     """
 
-    def __init__(self, spark: SparkSession, safety: str = "strict", max_rounds: int = 10_000, max_existential_rounds: int = 50):
+    def __init__(self, spark: SparkSession, safety: str = "strict", max_rounds: int = 10_000, max_existential_rounds: int = 50, policy: str = "loose"):
+        self.policy = policy
         self.spark, self.safety, self.max_rounds, self.max_existential_rounds = spark, safety, max_rounds, max_existential_rounds
         self.registry = Registry()
         self.relations: dict[str, DataFrame] = {}
@@ -52,27 +57,24 @@ class Engine:
     def relation(self, name: str, df: DataFrame, distinct: bool = False) -> Engine:
         """Bind a predicate to a DataFrame; its columns are the arguments, in order."""
         self.relations[name] = df.distinct() if distinct else df
-        self._closed = None
-        return self
+        return self._changed()
 
     def lazy(self, name: str, make: Callable[[], DataFrame]) -> Engine:
         """Like ``relation``, but ``make`` runs only when a rule or goal reads the predicate."""
         self._lazy[name] = make
-        self._closed = None
-        return self
+        return self._changed()
 
     def domain(self, df: DataFrame | Callable[[], DataFrame]) -> Engine:
         """One column: what variables range over that only negated conjuncts mention."""
         self._domain = df
-        return self
+        return self._changed()
 
     def add_triples(self, triples: DataFrame | Iterable) -> Engine:
         """More facts. After ``closure`` of a positive program the next one continues from what is known."""
         df = triples if isinstance(triples, DataFrame) else facts_df(self.spark, triples)
         df = df.toDF("s", "p", "o")
         self.triples = df.distinct() if self.triples is None else self.triples.union(df).distinct()
-        self._closed = None
-        return self
+        return self._changed()
 
     def add_rules(self, rules: str | Iterable[Rule]) -> Engine:
         """Rules as objects or N3 text; the next closure uses all of them over all facts."""
@@ -80,8 +82,7 @@ class Engine:
             self.load_n3(rules)
         else:
             self.rules += list(rules)
-        self._closed = None
-        return self
+        return self._changed()
 
     def load_n3(self, text: str) -> n3.Document:
         doc = n3.parse(text, self.registry)
@@ -90,7 +91,7 @@ class Engine:
         self.prefixes |= doc.prefixes
         if doc.facts:
             self.add_triples(doc.facts)
-        self._closed = None
+        self._changed()
         return doc
 
     def register_builtin(self, name: str, fn: Callable[[Column, Column], Column]) -> Engine:
@@ -103,28 +104,50 @@ class Engine:
 
         With ``override`` the rule's own conclusions are left out.
         """
-        from .plans.ir import canonical
-
         want = canonical(Rule((head,), ()))
         for i, r in enumerate(self.rules):
             if not r.name:
                 self.rules[i] = r = replace(r, name=f"r{i + 1}")
             if any(canonical(Rule((h,), ())) == want for h in r.head):
                 self.actions[r.name] = (action, override)
-        return self
+        return self._changed()
 
     def reset(self, keep_facts: bool = False) -> Engine:
         """Forget derived facts, and stored ones unless kept; rules stay."""
-        self._closed = None
-        self._tables.clear()
+        self._changed()
         if not keep_facts:
             self.triples = None
             self.relations.clear()
             self._lazy.clear()
         return self
 
+    def _changed(self) -> Engine:
+        """Forget the closure and the kept answers, which no longer hold."""
+        self._closed = None
+        for df in self._tables.values():
+            df.unpersist()
+        self._tables.clear()
+        return self
+
     # evaluation
 
+    def catalog(self, rules: list[Rule] | None = None) -> Catalog:
+        """Stored, derived and hybrid predicates of the rules, under the engine's policy. Raises Clash if that is harsh."""
+        rules = normalise(self.rules if rules is None else rules)
+        atoms = {a.pred: a for r in rules for a in (*r.head, *r.atoms()) if isinstance(a, Atom)}
+        stored = {p for p, a in atoms.items() if p != "triple" and (df := self._lookup(a)) is not None and (p in self.relations or not df.isEmpty())}
+        return classify(rules, stored, self.policy)
+
+    def _under_policy(self, rules: list[Rule]) -> tuple[list[Rule], set[str]]:
+        """The rules to evaluate and the predicates whose stored facts don't count."""
+        if self.policy == "loose":
+            return rules, set()
+        found = self.catalog(rules)
+        clash = {h.pred for r in rules for h in r.head} & (found.base if self.policy == "base" else {a.pred for r in rules for a in r.head if self._lookup(a) is not None})
+        if self.policy == "base":
+            return [r for r in rules if not any(h.pred in clash for h in r.head)], set()
+        return rules, clash
+
     @staticmethod
     def _second_order(rules: list[Rule]) -> bool:
         return any(isinstance(a, Atom) and a.pred == "triple" for r in rules for a in (*r.head, *r.atoms()))
@@ -153,45 +176,109 @@ class Engine:
         return self.triples.select("s").distinct()
 
     def _evaluate(self, rules: list[Rule], goal: Atom | None = None, seed: tuple[str, tuple] | None = None, resume: tuple[dict, dict] | None = None) -> tuple[Fixpoint, Result]:
-        rules = normalise(rules)
+        rules, hidden = self._under_policy(normalise(rules))
         second = self._second_order(rules)
+        plain = rules
         if second:
             rules = [replace(r, head=tuple(n3.triple_of(h) for h in r.head), body=tuple(n3.triple_of(a) if isinstance(a, Atom) else a for a in r.atoms())) for r in rules]
 
         def lookup(atom: Atom) -> DataFrame | None:
             if seed and atom.pred == seed[0]:
                 return self.spark.range(1).select(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(seed[1])])
-            df = self._lookup(atom)
+            df = None if atom.pred in hidden else self._lookup(atom)
             if df is None and (atom.pred.startswith(("<", "_:")) or atom.pred == "triple"):
                 if not any(h.pred == atom.pred for r in rules for h in r.head):
                     return self.spark.createDataFrame([], ", ".join(f"c{i} string" for i in range(len(atom.args))))
             return df
 
         options = {"registry": self.registry, "safety": self.safety, "max_rounds": self.max_rounds, "max_existential_rounds": self.max_existential_rounds, "domain": self.subjects, "actions": self.actions}
-        negative = [r for r in rules if second and any(isinstance(a, Atom) and a.negated for a in r.atoms())]
-        if not negative:
+        if not second or not any(isinstance(a, Atom) and a.negated for r in rules for a in r.atoms()):
             fix = Fixpoint(self.spark, rules, lookup, **options)
             return fix, fix.extend(*resume) if resume else fix.run(goal)
-        # rules over all triples can't be told apart by predicate: positive ones first, negative ones over their closure, positive ones again
-        positive = [r for r in rules if r not in negative]
-        first = Fixpoint(self.spark, positive, lookup, **options)
-        closed = first.run().total.get("triple")
-        closed = cut(closed if closed is not None else self.triples)
-        over = {"triple": closed}
-        once = Fixpoint(self.spark, [replace(r, head=tuple(replace(h, pred="new") for h in r.head)) for r in negative], lambda a: over.get(a.pred), **options)
-        base = cut(closed.union(once.run().total["new"]).distinct())
-        asserted = self.triples.toDF("c0", "c1", "c2")
-        fix = Fixpoint(self.spark, positive or [Rule((Atom("triple", tuple(Var(x) for x in "spo")),), (Atom("triple", tuple(Var(x) for x in "spo")),), "id")], lambda a: base if a.pred == "triple" else None, **options)
-        out = fix.run(goal)
+        return self._layers(plain, rules, goal, options)
+
+    def _layers(self, plain: list[Rule], rules: list[Rule], goal: Atom | None, options: dict) -> tuple[Fixpoint, Result]:
+        """Negation beside rules over all triples.
+
+        Rules that name their predicates are layered by them (``plain``: before they were put
+        in triple form, ``rules``); rules over any predicate belong to every layer. A
+        layer's closure reads negated conjuncts from the layer before. At the end each of these
+        rules must still hold for all it was used for; else the program isn't stratified.
+        """
+        def named(a):
+            """The atom by its predicate where that is constant."""
+            if not isinstance(a, Atom) or a.pred != "triple":
+                return a
+            return replace(n3.atom_of(*a.args), negated=a.negated)
+
+        def negated(r: Rule) -> list[Atom]:
+            return [a for a in r.atoms() if isinstance(a, Atom) and a.negated]
+
+        plain = [replace(r, head=tuple(map(named, r.head)), body=tuple(map(named, r.atoms()))) for r in plain]
+        closed = [replace(r, body=tuple(a for a in r.atoms() if getattr(a, "pred", "") != "triple")) for r in plain]
+        layer: dict[str, int] = {}
+        for comp, own in strata([r for r in closed if r.head and r.kind != "filter"]):
+            level = max([layer.get(a.pred, 0) + a.negated for r in own for a in r.atoms() if isinstance(a, Atom) and a.pred not in comp], default=0)
+            layer |= dict.fromkeys(comp, level)
+        last = 1 + max(layer.values(), default=0)
+
+        def level_of(r: Rule) -> int:
+            if not r.head or r.kind == "filter" or any(a.pred == "triple" for a in negated(r)):
+                return last
+            return layer[r.head[0].pred]
+
+        levels = [level_of(r) for r in plain]
+        frozen = lambda r: replace(r, body=tuple(replace(a, pred="before") if isinstance(a, Atom) and a.negated else a for a in r.atoms()))
+        empty = self.spark.createDataFrame([], "c0 string, c1 string, c2 string")
+        asserted = empty if self.triples is None else self.triples.toDF("c0", "c1", "c2")
+        total, read = asserted, []
+        copy = Rule((Atom("triple", tuple(Var(x) for x in "spo")),), (Atom("triple", tuple(Var(x) for x in "spo")),), "id")
+        for level in range(max(levels, default=0) + 1):
+            mine = [frozen(r) for r, k in zip(rules, levels) if k <= level]
+            relations = {"triple": total, "before": total}
+            fix = Fixpoint(self.spark, mine if any(h.pred == "triple" for r in mine for h in r.head) else [*mine, copy], lambda a, have=relations: have.get(a.pred), **options)
+            out = fix.run(goal)
+            read += [(frozen(r), total) for r, k in zip(rules, levels) if k == level and negated(r)]
+            if out.reached_goal:
+                break
+            total = cut(out.total["triple"])
+        for r, then in read:
+            keep = r.head_variables() | r.body_variables()
+            found = [bindings(r, lambda a, d, b=b: b if a.pred == "before" else total, self.registry, None, self.subjects, keep) for b in (then, total)]
+            if not found[0].subtract(found[1].select(*found[0].columns)).isEmpty():
+                raise NotStratified(f"{r!r}: what follows makes its negated conjuncts true")
         out.asserted["triple"] = asserted
         return fix, out
 
     def close(self) -> Fixpoint:
         """Evaluate all rules over all facts."""
         if self._closed is None:
-            self._closed, _ = self._evaluate(self.rules)
+            self._closed = self._rdfs() or self._evaluate(self.rules)[0]
         return self._closed
 
+    def _rdfs(self) -> Fixpoint | None:
+        """The closure by shapes of triples, where the rules are those of RDFS and nothing else."""
+        from .owl import rdfs
+
+        if self.triples is None or self.actions or len(self.rules) < 10 or not all("rdf-schema#" in repr(r) or "22-rdf-syntax-ns#" in repr(r) for r in self.rules):
+            return None
+        if {canonical(r) for r in normalise(self.rules)} != {canonical(r) for r in normalise(rdfs_rules())}:
+            return None
+        try:
+            local.fetch(self.triples)
+            return None  # few triples: the rules themselves, in the driver
+        except local.NotLocal:
+            pass
+        total = rdfs.closure(self.spark, self.triples, lambda few: Engine(self.spark).add_triples(few)._evaluate(self.rules)[1].total["triple"].toDF("s", "p", "o"))
+        if total is None:
+            return None
+        fix = Fixpoint(self.spark, [], lambda a: None, self.registry)
+        asserted = self.triples.toDF("c0", "c1", "c2")
+        fix.result.total["triple"], fix.result.asserted["triple"] = total.toDF("c0", "c1", "c2"), asserted
+        fix.result.rounds["triple"] = [(0, asserted), (1, total.subtract(asserted).toDF("c0", "c1", "c2"))]
+        fix.rules = normalise(self.rules)
+        return fix
+
     def relation_of(self, atom: Atom) -> DataFrame:
         """Extent of a predicate after closure, columns c0, c1, ..."""
         return self._extent(self.close(), atom)
@@ -255,7 +342,7 @@ class Engine:
         if have is not None:
             new = new.toDF(*have.columns).subtract(have)
         self.relations[pred] = new if have is None else have.union(new)
-        self._closed = None
+        self._changed()
         positive = not any(r.existential() or r.kind == "filter" or not r.head or any(a.negated for a in r.atoms()) for r in rules)
         if before is not None and positive and not self.actions and not self._second_order(rules):
             fresh = cut(new)
@@ -291,7 +378,7 @@ class Engine:
         from .plans.compile import scan
 
         rules = normalise([*self.rules, *(extra or [])])
-        rules = [r for r in rules if r.head]
+        rules, hidden = self._under_policy([r for r in rules if r.head])
         if method == "naive" or self._second_order(rules):
             fix = self.close() if not extra else self._evaluate([*self.rules, *extra])[0]
             extent = self._extent(fix, goal)
@@ -301,20 +388,20 @@ class Engine:
                 df = self._lookup(goal)
                 extent = df if df is not None else self._extent(self.close(), goal)
             else:
-                hybrid = self._hybrid(own, rules)
+                hybrid = self._hybrid(own, rules, hidden)
                 fix, result = self._evaluate([*own, *hybrid], target if not any(isinstance(a, Var) for a in target.args) else None, seed)
                 extent = result.total[target.pred]
                 self.last_derived = result
         out = scan(extent.toDF(*[f"c{i}" for i in range(len(extent.columns))]), goal).distinct()
         return out.toDF(*[c.removeprefix("v_") or "found" for c in out.columns])
 
-    def _hybrid(self, own: list[Rule], rules: list[Rule]) -> list[Rule]:
+    def _hybrid(self, own: list[Rule], rules: list[Rule], hidden: set[str]) -> list[Rule]:
         """Copy rules that put stored facts of hybrid predicates into their adorned twins, guarded like them."""
         out = []
         derived = {h.pred: h for r in rules for h in r.head}
         for pred in sorted({h.pred for r in own for h in r.head if "^" in h.pred and not h.pred.startswith(("magic:", "sup:"))}):
             base, ad = pred.rsplit("^", 1)
-            stored = self._lookup(derived[base])
+            stored = None if base in hidden else self._lookup(derived[base])
             if stored is not None:
                 args = tuple(Var(f"x{i}") for i in range(len(ad)))
                 guard = (Atom(f"magic:{pred}", tuple(a for a, c in zip(args, ad) if c == "b")),) if "b" in ad else ()
@@ -332,8 +419,8 @@ class Engine:
         return run(self, text, method)
 
     def table(self, goal, method: str = "magic") -> DataFrame:
-        """``query`` with its answer kept for the next call with the same goal."""
-        key = (repr(goal), method, len(self.rules))
+        """``query`` with its answer kept for the next call with the same goal, until facts or rules change."""
+        key = (repr(goal), method)
         if key not in self._tables:
             self._tables[key] = self.query(goal, method).persist()
         return self._tables[key]
@@ -346,6 +433,14 @@ class Engine:
     def filtered(self) -> dict[str, DataFrame]:
         return self.close().filtered()
 
+    def sizes(self, least: int = 1200) -> DataFrame:
+        """relation, n: derived and stored relations with at least ``least`` rows, largest first, each counted where it lies."""
+        found = {**{p: df for p, df in self.relations.items()}, **dict(self.close().result.total.items())}
+        if self.triples is not None:
+            found.setdefault("triple", self.triples)
+        parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("relation"), "n") for p, df in found.items()]
+        return functools.reduce(DataFrame.union, parts).where(F.col("n") >= least).orderBy(F.desc("n"), "relation")
+
     def firings(self) -> DataFrame:
         return self.close().firings()
 
@@ -376,6 +471,14 @@ class EntailedView:
         return not self.triples(*triple).isEmpty()
 
 
+@functools.cache
+def rdfs_rules() -> list[Rule]:
+    """The rules of the RDFS pack."""
+    from .owl.packs import RDFS
+
+    return n3.parse(RDFS).rules
+
+
 def builtin(op: str, a, b) -> Builtin:
     """A builtin conjunct."""
     return Builtin(op, (a, b))

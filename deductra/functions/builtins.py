@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..terms import LOG, MATH, STRING, lexical, number
+from ..terms import LOG, MATH, STRING, XSD, lexical, number
 
 Fn = Callable[[Column, Column], Column]
 BASIC: dict[str, Fn] = {
@@ -35,13 +35,19 @@ STRINGS: dict[str, Fn] = {
     "greaterThan": BASIC["gt"], "lessThan": BASIC["lt"], "notGreaterThan": BASIC["le"], "notLessThan": BASIC["ge"], "greaterThanOrEqualTo": BASIC["ge"], "lessThanOrEqualTo": BASIC["le"],
 }
 LOGS: dict[str, Fn] = {"equalTo": BASIC["eq"], "notEqualTo": BASIC["ne"]}
-#: Value-producing: the result, a third argument or the object of a list subject, is compared or bound.
+#: Value-producing: the result, a third argument, is bound, or compared where it is bound already.
 ARITHMETIC: dict[str, Fn] = {
     "sum": lambda a, b: a + b, "difference": lambda a, b: a - b, "product": lambda a, b: a * b,
     "integerQuotient": lambda a, b: F.floor(a / b),
 }
 
 
+def _number_term(value: Column) -> Column:
+    """A number as a literal: an integer where it is whole."""
+    whole = value == F.floor(value)
+    return F.when(whole, F.concat(F.lit('"'), F.floor(value).cast("string"), F.lit(f'"^^<{XSD}integer>'))).otherwise(F.concat(F.lit('"'), value.cast("string"), F.lit(f'"^^<{XSD}double>')))
+
+
 class Registry:
     """Builtins by name: short names for typed relations, IRIs for RDF terms, and the user's own."""
 
@@ -53,13 +59,21 @@ class Registry:
                 self.fns[f"{short}:{k}"] = f
                 self.fns[f"<{ns}{k}>"] = lambda a, b, f=f, v=view: f(v(a), v(b))
         self.fns |= BASIC
+        self.arithmetic: dict[str, Fn] = {}
+        for k, f in ARITHMETIC.items():
+            self.arithmetic[f"math:{k}"] = f
+            self.arithmetic[f"<{MATH}{k}>"] = lambda a, b, f=f: _number_term(f(number(a), number(b)))
 
     def register(self, name: str, fn: Fn) -> None:
         """``fn(a, b)`` gives a Boolean Column; it may wrap a pandas UDF."""
         self.fns[name] = fn
 
     def __contains__(self, name) -> bool:
-        return name in self.fns
+        return name in self.fns or name in self.arithmetic
+
+    def produce(self, name: str, a: Column, b: Column) -> Column:
+        """The value of an arithmetic builtin; null where an operand isn't a number."""
+        return self.arithmetic[name](a, b)
 
     def apply(self, name: str, a: Column, b: Column) -> Column:
         if name not in self.fns:

@@ -3,7 +3,10 @@
 The driver loops over strata and rounds; all data work of a round is one DataFrame per
 predicate: the union of the rules' delta variants, minus what is known. Each round's new
 facts are written to the shared folder and read back, which cuts the lineage and survives
-lost executors. Strata without recursion stay lazy, so Catalyst sees them whole.
+lost executors. A recursive stratum over few facts runs in the driver (see ``local``), which
+costs no job a round. Strata without recursion stay lazy, so Catalyst sees them whole, up to
+plans of ``LEAVES`` scans: a predicate whose plan grows beyond is written, so that plans
+don't grow with the number of ways to it.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from ..plans.analyze import check_safety, strata
 from ..plans.compile import bindings, conclusions
 from ..plans.ir import Atom, Rule, Var
 from ..plans.rewrite import double_linear, normalise
-from .storage import cut
+from . import local
+from .storage import cut, small_table
 
 #: Jobs of a round that run at once.
 CONCURRENT = 8
+#: Rules and scans in the plan of a predicate that stays lazy.
+LEAVES = 40
 Action = Callable[[DataFrame], "dict[str, DataFrame] | None"]
 
 
@@ -32,11 +38,30 @@ class TooManyRounds(RuntimeError):
     """A fixpoint that doesn't settle, as existential recursion may not."""
 
 
+class Relations(dict):
+    """Relations by predicate; a value may be a function that makes the DataFrame when it is first asked for."""
+
+    def __getitem__(self, pred: str) -> DataFrame:
+        found = super().__getitem__(pred)
+        if not isinstance(found, DataFrame):
+            found = self[pred] = found()
+        return found
+
+    def get(self, pred: str, default=None):
+        return self[pred] if pred in self else default
+
+    def items(self):
+        return [(p, self[p]) for p in self]
+
+    def values(self):
+        return [self[p] for p in self]
+
+
 @dataclass
 class Result:
     """Relations after evaluation."""
 
-    total: dict[str, DataFrame] = field(default_factory=dict)
+    total: dict[str, DataFrame] = field(default_factory=Relations)
     asserted: dict[str, DataFrame | None] = field(default_factory=dict)
     rounds: dict[str, list[tuple[int, DataFrame]]] = field(default_factory=dict)
     n_rounds: int = 0
@@ -49,7 +74,7 @@ class Result:
 
     def with_rounds(self, pred: str) -> DataFrame:
         """Facts with the round that found them; asserted ones have round 0."""
-        parts = [df.withColumn("round", F.lit(r)) for r, df in self.rounds.get(pred, [])]
+        parts = [(df if isinstance(df, DataFrame) else df()).withColumn("round", F.lit(r)) for r, df in self.rounds.get(pred, [])]
         return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -76,6 +101,9 @@ class Fixpoint:
         self.rules = double_linear(rules) if doubling else rules
         self.max_rounds, self.max_existential_rounds = max_rounds, max_existential_rounds
         self.result = Result()
+        self.leaves: dict[str, int] = {}
+        self.facts: dict[str, set[tuple]] = {}  # of small predicates, known in the driver
+        self.types: dict[str, list[str]] = {}  # their columns' types
 
     def _relation(self, atom: Atom) -> DataFrame:
         if atom.pred in self.result.total:
@@ -105,22 +133,69 @@ class Fixpoint:
         for comp, rules in strata(self.rules):
             self._seed(comp, rules)
             recursive = any(isinstance(a, Atom) and a.pred in comp for r in rules for a in r.atoms()) or any(r.name.split(".")[0] in self.actions for r in rules)
-            (self._loop if recursive else self._once)(comp, rules, goal)
+            small = all(a.pred in self.facts for r in rules for a in r.atoms() if isinstance(a, Atom))
+            if (recursive or small) and self._local(comp, rules, goal):
+                self.result.n_rounds -= not recursive and 2
+            elif recursive:
+                self._loop(comp, rules, goal)
+            else:
+                self._once(comp, rules)
             if self.result.reached_goal:
                 break
         return self.result
 
-    def _once(self, comp: set[str], rules: list[Rule], goal) -> None:
+    def _once(self, comp: set[str], rules: list[Rule]) -> None:
         found: dict[str, list[DataFrame]] = {p: [] for p in comp}
+        leaves = sum(1 + sum(self.leaves.get(a.pred, 1) for a in r.atoms() if isinstance(a, Atom)) for r in rules)
+        if leaves > LEAVES and self._local(comp, rules, None):
+            self.result.n_rounds -= 2
+            return
         for r in rules:
             for p, df in self._fire(r, lambda a, d: self._relation(a)):
                 found.setdefault(p, []).append(df)
         for p, parts in found.items():
             had = self.result.asserted.get(p)
             new = _union(parts).distinct()
+            if leaves > LEAVES:
+                new = cut(new)
+            self.leaves[p] = 2 if leaves > LEAVES else leaves
             self.result.total[p] = new if had is None else had.union(new).distinct()
             self.result.rounds[p] = ([] if had is None else [(0, had)]) + [(1, new if had is None else new.subtract(had))]
 
+    def _local(self, comp: set[str], rules: list[Rule], goal) -> bool:
+        """Evaluate a recursive stratum in the driver if its facts are few; False: nothing was done."""
+        if any(r.name.split(".")[0] in self.actions for r in rules) or len({h.pred for r in rules for h in r.head} - comp):
+            return False
+        def stored(atom: Atom) -> set[tuple] | None:
+            if atom.pred not in self.facts:
+                df = self.result.asserted[atom.pred] if atom.pred in comp else self._relation(atom)
+                if df is None:
+                    return None
+                self.facts[atom.pred] = local.fetch(df)
+                self.types[atom.pred] = [t for _, t in df.dtypes]
+            return self.facts[atom.pred]
+
+        try:
+            rounds, n, reached = local.evaluate(comp, rules, stored, self.max_rounds, goal)
+            self.types |= local.types(comp, rules, self.types)
+            for p, parts in rounds.items():
+                self.facts[p] = set().union(*[facts for _, facts in parts])
+                local.uniform(self.facts[p])
+        except local.NotLocal:
+            for p in comp:
+                self.facts.pop(p, None), self.types.pop(p, None)
+            return False
+        for p, parts in rounds.items():
+            self.result.rounds[p] = [(k, self._table(facts, self.types[p])) for k, facts in parts]
+            self.result.total[p] = self._table(self.facts[p], self.types[p])
+            self.leaves[p] = 1
+        self.result.n_rounds += n
+        self.result.reached_goal = reached
+        return True
+
+    def _table(self, facts: set[tuple], types: list[str]) -> Callable[[], DataFrame]:
+        return lambda: small_table(self.spark, facts, {f"c{i}": t for i, t in enumerate(types)})
+
     def extend(self, before: dict[str, DataFrame], delta: dict[str, DataFrame]) -> Result:
         """The closure after an addition, from the one before it: only what ``delta`` sets off is evaluated.
 
@@ -136,7 +211,7 @@ class Fixpoint:
             parts = [df for df in (before.get(p) if p in heads else None, delta.get(p) if p in heads else stored) if df is not None]
             known[p] = [_columns(_union([_columns(df) for df in parts])).distinct()] if parts else []
         self._loop(set(atoms), self.rules, None, known, {p: _columns(df) for p, df in delta.items() if p in atoms})
-        self.result.total = {p: df for p, df in self.result.total.items() if p in heads}
+        self.result.total = Relations({p: df for p, df in self.result.total.items() if p in heads})
         return self.result
 
     def _loop(self, comp: set[str], rules: list[Rule], goal, known: dict[str, list[DataFrame]] | None = None, delta: dict[str, DataFrame] | None = None) -> None:

@@ -86,6 +86,24 @@ PD = _COMMON + SUPPORT + PD_AXIOMS + """
 { ?r owl:someValuesFrom ?c . ?r owl:onProperty ?p . ?a ?p ?b . ?b a ?c } => { ?a a ?r } .
 { ?r owl:allValuesFrom ?c . ?r owl:onProperty ?p . ?a a ?r . ?a ?p ?b } => { ?b a ?c } .
 """ + LISTS
+#: RDF and RDFS entailment of schema and container properties, with the axiomatic triples of the RDF and RDFS vocabularies.
+RDF_AXIOMS = _PREFIXES + """@prefix str: <http://www.w3.org/2000/10/swap/string#> .
+rdf:type a rdf:Property . rdf:subject a rdf:Property . rdf:predicate a rdf:Property . rdf:object a rdf:Property . rdf:first a rdf:Property . rdf:rest a rdf:Property .
+rdf:value a rdf:Property . rdf:_1 a rdf:Property . rdf:nil a rdf:List .
+rdf:type rdfs:domain rdfs:Resource ; rdfs:range rdfs:Class . rdfs:domain rdfs:domain rdf:Property ; rdfs:range rdfs:Class . rdfs:range rdfs:domain rdf:Property ; rdfs:range rdfs:Class .
+rdfs:subPropertyOf rdfs:domain rdf:Property ; rdfs:range rdf:Property . rdfs:subClassOf rdfs:domain rdfs:Class ; rdfs:range rdfs:Class .
+rdf:subject rdfs:domain rdf:Statement ; rdfs:range rdfs:Resource . rdf:predicate rdfs:domain rdf:Statement ; rdfs:range rdfs:Resource . rdf:object rdfs:domain rdf:Statement ; rdfs:range rdfs:Resource .
+rdfs:member rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource . rdf:first rdfs:domain rdf:List ; rdfs:range rdfs:Resource . rdf:rest rdfs:domain rdf:List ; rdfs:range rdf:List .
+rdfs:seeAlso rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource . rdfs:isDefinedBy rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource ; rdfs:subPropertyOf rdfs:seeAlso .
+rdfs:comment rdfs:domain rdfs:Resource ; rdfs:range rdfs:Literal . rdfs:label rdfs:domain rdfs:Resource ; rdfs:range rdfs:Literal . rdf:value rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource .
+rdf:Alt rdfs:subClassOf rdfs:Container . rdf:Bag rdfs:subClassOf rdfs:Container . rdf:Seq rdfs:subClassOf rdfs:Container . rdfs:ContainerMembershipProperty rdfs:subClassOf rdf:Property .
+rdf:_1 a rdfs:ContainerMembershipProperty ; rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource . rdf:XMLLiteral a rdfs:Datatype ; rdfs:subClassOf rdfs:Literal . rdfs:Datatype rdfs:subClassOf rdfs:Class .
+{ ?a ?prop ?b } => { ?prop a rdf:Property } .
+{ ?prop rdfs:range ?cls . ?cls rdfs:subClassOf ?more } => { ?prop rdfs:range ?more } .
+{ ?prop rdfs:domain ?cls . ?cls rdfs:subClassOf ?more } => { ?prop rdfs:domain ?more } .
+{ ?cls a rdfs:Class } => { ?cls rdfs:subClassOf rdfs:Resource } .
+{ ?a ?prop ?b . ?prop str:matches "^http://www.w3.org/1999/02/22-rdf-syntax-ns#_[0-9]+$" } => { ?prop a rdfs:ContainerMembershipProperty } .
+"""
 #: Denials: what must not hold.
 INCONSISTENT = _PREFIXES + """
 { ?a owl:sameAs ?b . ?a owl:differentFrom ?b } => false .

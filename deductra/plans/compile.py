@@ -79,7 +79,17 @@ def bindings(rule: Rule, relation: Relation, registry: Registry, delta: int | No
 
     def ready(df: DataFrame) -> DataFrame:
         for b in list(waiting):
-            if all(col(v) in df.columns for v in b.variables()):
+            if b not in waiting:
+                continue
+            if len(b.args) == 3 and all(col(v) in df.columns for v in b.inputs()):
+                waiting.remove(b)
+                made = registry.produce(b.op, value(b.args[0]), value(b.args[1]))
+                out = b.args[2]
+                if isinstance(out, Var) and col(out) not in df.columns:
+                    df = ready(df.withColumn(col(out), made).where(F.col(col(out)).isNotNull()))
+                else:
+                    df = df.where(~F.coalesce(made == value(out), F.lit(False)) if b.negated else made == value(out))
+            elif len(b.args) == 2 and all(col(v) in df.columns for v in b.variables()):
                 waiting.remove(b)
                 test = registry.apply(b.op, value(b.args[0]), value(b.args[1]))
                 df = df.where(~F.coalesce(test, F.lit(False)) if b.negated else test)

@@ -77,7 +77,7 @@ class Atom(_Formula):
 
 @dataclass(frozen=True)
 class Builtin(_Formula):
-    """A comparison or user predicate over bound arguments."""
+    """A comparison or user predicate over bound arguments; with three arguments, arithmetic whose last one is its value."""
 
     op: str
     args: tuple
@@ -86,6 +86,10 @@ class Builtin(_Formula):
     def variables(self) -> set[Var]:
         return {a for a in self.args if isinstance(a, Var)}
 
+    def inputs(self) -> set[Var]:
+        """Variables that must be bound before it."""
+        return {a for a in self.args[:2] if isinstance(a, Var)} if len(self.args) == 3 else self.variables()
+
     def __invert__(self):
         return replace(self, negated=not self.negated)
 
@@ -142,8 +146,13 @@ class Rule:
         return set().union(*[h.variables() for h in self.head]) if self.head else set()
 
     def body_variables(self) -> set[Var]:
-        """Variables that the body binds: those of positive atoms."""
-        return set().union(*[a.variables() for a in self.atoms() if isinstance(a, Atom) and not a.negated])
+        """Variables that the body binds: those of positive atoms, and values of arithmetic over them."""
+        bound = set().union(*[a.variables() for a in self.atoms() if isinstance(a, Atom) and not a.negated])
+        values = [a for a in self.atoms() if isinstance(a, Builtin) and len(a.args) == 3 and not a.negated]
+        while ready := [a for a in values if a.inputs() <= bound]:
+            bound = bound.union(*[a.variables() for a in ready])
+            values = [a for a in values if a not in ready]
+        return bound
 
     def existential(self) -> set[Var]:
         """Head variables that the body doesn't mention; those only under negation range over the domain."""

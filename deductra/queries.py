@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .owl.packs import RDFS
 from .plans.ir import Atom, Or, Rule, Var, variables
 
 X, Y, Z, W, C, N, R, S, P, O, Q = variables("x y z w c n r s p o q")  # noqa: E741
@@ -627,17 +628,27 @@ def op_d12_some_in_head(spark, sf_dir):
     return found.groupBy("k").agg(F.countDistinct("node").alias("nodes"))
 
 
-@query("""SELECT '<urn:nation/' || n_nationkey || '>' AS s, c.o AS o FROM nation CROSS JOIN (SELECT '<urn:v#Nation>' AS o UNION ALL SELECT '<urn:v#Place>') c
-    UNION SELECT '<urn:region/' || n_regionkey || '>', c.o FROM nation CROSS JOIN (SELECT '<urn:v#Region>' AS o UNION ALL SELECT '<urn:v#Place>') c""")
+_RDF, _RDFS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#"
+_THINGS = """WITH c AS (SELECT '<urn:customer/' || c_custkey || '>' AS x, '<urn:nation/' || c_nationkey || '>' AS y FROM customer), o AS (SELECT '<urn:order/' || o_orderkey || '>' AS x, '<urn:customer/' || o_custkey || '>' AS y FROM orders)"""
+
+
+@query(f"""{_THINGS}, t AS (SELECT x AS s, '<urn:v#Customer>' AS o FROM c UNION ALL SELECT x, '<urn:v#Party>' FROM c UNION ALL SELECT y, '<urn:v#Place>' FROM c UNION ALL SELECT x, '<urn:v#Order>' FROM o UNION ALL SELECT y, '<urn:v#Party>' FROM o
+        UNION ALL SELECT y, '<urn:v#Customer>' FROM o UNION ALL SELECT x, '<{_RDFS}Resource>' FROM (SELECT x FROM c UNION SELECT y FROM c UNION SELECT x FROM o UNION SELECT y FROM o))
+    SELECT DISTINCT s, o FROM t""")
 def op_d26_rdfs(spark, sf_dir):
-    """OP-D26: the RDFS rules over mapped triples."""
-    return _rdfs_types(spark, sf_dir).where("o like '<urn:v#%'")
+    """OP-D26: all classes of customers, orders and nations under the RDFS rules."""
+    t = tables(spark, sf_dir)
+    node = lambda kind, key: F.concat(F.lit(f"<urn:{kind}/"), key, F.lit(">"))
+    rows = t("customer").select(node("customer", "c_custkey").alias("s"), F.lit("<urn:v#livesIn>").alias("p"), node("nation", "c_nationkey").alias("o"))
+    rows = rows.union(t("orders").select(node("order", "o_orderkey"), F.lit("<urn:v#placedBy>"), node("customer", "o_custkey")))
+    e = Engine(spark).add_triples(rows)
+    e.load_n3(OWL_PREFIX + "v:livesIn rdfs:domain v:Customer ; rdfs:range v:Place . v:placedBy rdfs:domain v:Order ; rdfs:range v:Customer . v:Customer rdfs:subClassOf v:Party .")
+    e.load_n3(RDFS)
+    return e.closure().where(f"p = '{T_TYPE}' and s rlike '^<urn:(customer|order|nation)/'").select("s", "o")
 
 
 def _rdfs_types(spark, sf_dir):
     """All classes of nations and regions under the RDFS rules, rdfs:Resource among them."""
-    from .owl.packs import RDFS
-
     e = _nations(spark, sf_dir)
     e.load_n3(OWL_PREFIX + "v:inRegion rdfs:domain v:Nation ; rdfs:range v:Region . v:Nation rdfs:subClassOf v:Place . v:Region rdfs:subClassOf v:Place .")
     e.load_n3(RDFS)

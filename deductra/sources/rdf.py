@@ -8,22 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms as T
+from ..operators.storage import small_table
 from . import n3, rdfxml
 
-SCHEMA = "s string, p string, o string"
-
-
 def facts_df(spark: SparkSession, facts) -> DataFrame:
     """Driver-side facts as a DataFrame."""
-    return spark.createDataFrame(list(facts), SCHEMA)
+    return small_table(spark, facts, dict.fromkeys("spo", "string"))
+
+
+_TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
+_LINE = rf"^\s*{_TERM}\s+{_TERM}\s+{_TERM}\s*\.\s*(?:#.*)?$"
+
+
+def unread_ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are neither triples, comments nor blank."""
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
 
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Distributed N-Triples scan; comments and blank lines are skipped, implications dropped, duplicates removed.
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Distributed N-Triples scan; comments and blank lines are skipped, implications dropped, duplicates removed."""
-    term = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
-    line = rf"^\s*{term}\s+{term}\s+{term}\s*\.\s*(?:#.*)?$"
-    text = spark.read.text(path).where(F.col("value").rlike(line))
-    out = text.select(*[F.regexp_extract("value", line, i + 1).alias(c) for i, c in enumerate("spo")])
+    ``strict``: a line that can't be read fails the query when it is scanned; otherwise such
+    lines are left out, and ``unread_ntriples`` gives them.
+    """
+    text = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    fits = F.col("value").rlike(_LINE)
+    if strict:
+        text = text.withColumn("value", F.when(fits, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples line: "), F.substring("value", 1, 200)))))
+    else:
+        text = text.where(fits)
+    out = text.select(*[F.regexp_extract("value", _LINE, i + 1).alias(c) for i, c in enumerate("spo")])
     return out.where(F.col("p") != n3.IMPLIES).distinct()
 
 
@@ -40,12 +54,16 @@ def read_document(path: str, fmt: str | None = None, registry=None) -> n3.Docume
 
 def with_imports(doc: n3.Document, locate, fmt: str | None = None) -> n3.Document:
     """The document with every ontology it imports, each read once; ``locate`` gives the local path of an IRI."""
-    seen = set()
-    for s, p, o in list(doc.facts):
+    seen, have, todo = set(), set(doc.facts), list(doc.facts)
+    while todo:
+        s, p, o = todo.pop()
         if p == T.owl("imports") and o not in seen:
             seen.add(o)
             more = read_document(locate(o[1:-1]), fmt)
-            doc.facts += [f for f in more.facts if f not in set(doc.facts)]
+            new = [f for f in dict.fromkeys(more.facts) if f not in have]
+            have.update(new)
+            doc.facts += new
+            todo += new
             doc.rules += more.rules
     return doc
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import terms as T
 from .plans.compile import scan
-from .plans.ir import Atom, Var
+from .plans.ir import Atom, Rule, Var
 from .sources.n3 import atom_of
 
 _TOKEN = re.compile(
@@ -112,8 +112,15 @@ class _Query:
             raise SparqlError(f"{self.peek()[1]!r} isn't in the subset")
         return out
 
-    def extent(self, atom: Atom) -> DataFrame:
-        return scan(self.engine.relation_of(atom), atom)
+    def basic(self, pattern: list[Atom]) -> DataFrame:
+        """The solutions of a basic graph pattern: over the closure (``naive``), or as one goal that demands only what its constants ask for."""
+        if self.method != "naive" and any(isinstance(x, Var) for a in pattern for x in a.args) and not self.engine._second_order([Rule((), tuple(pattern))]):
+            found = self.engine.query(tuple(pattern), self.method)
+            return found.toDF(*[f"v_{c}" for c in found.columns])
+        now = None
+        for a in pattern:
+            now = self.join(now, scan(self.engine.relation_of(a), a))
+        return now
 
     def join(self, left: DataFrame | None, right: DataFrame, how="inner") -> DataFrame:
         if left is None:
@@ -128,8 +135,10 @@ class _Query:
     def group(self) -> DataFrame:
         self.take("{")
         now: DataFrame | None = None
-        filters = []
+        filters, pattern = [], []
         while not self.at("}"):
+            if pattern and (self.at("OPTIONAL", "{")):
+                now, pattern = self.join(now, self.basic(pattern)), []
             if self.at("FILTER"):
                 self.take()
                 filters.append(self.primary())
@@ -145,9 +154,10 @@ class _Query:
             elif self.at("."):
                 self.take()
             else:
-                for a in self.triples():
-                    now = self.join(now, self.extent(a))
+                pattern += self.triples()
         self.take("}")
+        if pattern:
+            now = self.join(now, self.basic(pattern))
         if now is None:
             now = self.engine.spark.range(1).select(F.lit(True).alias("v_"))
         for f in filters:

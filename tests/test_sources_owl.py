@@ -173,10 +173,7 @@ def test_sparql_subset(spark):
         e.sparql(q + "SELECT ?s WHERE { ?s v:n ?n } GROUP BY ?s")
 
 
-SLOW = {"op_d26_rdfs"}
-
-
-@pytest.mark.parametrize("name", [n for n in queries.ORACLES if n not in SLOW][::6])
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_queries_match_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
