@@ -102,6 +102,20 @@ def test_shard_with_a_hot_text(spark):
     assert len(loads) == 40 and loads[-1] == 2000 * 76 and loads[-2] < 1.15 * sum(loads[:-1]) / 39
 
 
+@pytest.mark.parametrize("bits,shards", [(1, 7), (4, 40), (12, 5)])
+def test_capacity_is_the_least_over_atomic_groups(spark, monkeypatch, bits, shards):
+    monkeypatch.setattr(sharding, "SPLIT", 4)
+    r = random.Random(bits)
+    rows = [(i, "x" * r.choice([0, 1, 5, 300]) + str(i % 700)) for i in range(900)]
+    df = frame(spark, rows)
+    groups = df.selectExpr("xxhash64(text) as h", "octet_length(text) + 16 as size").groupBy("h").sum("size").orderBy("h").collect()
+    sizes = [g[1] for g in groups]
+    want = sharding.cuts(list(enumerate(sizes)), shards)
+    best = max(sum(sizes[a:b]) for a, b in zip([0, *[w + 1 for w in want]], [w + 1 for w in want]))
+    loads = [x[1] for x in sharding.shard(df, shards, bits=bits).groupBy("shard").sum("size").collect()]
+    assert len(loads) == shards and max(loads) == best
+
+
 def test_slots_of_a_hot_key(spark):
     df = spark.range(1000).selectExpr("id", "if(id < 900, 0, id % 7) as k")
     got = defaultdict(list)
