@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .owl.packs import RDFS
+from .owl.packs import PD, RDFS, SUPPORT
 from .plans.ir import Atom, Or, Rule, Var, variables
 
 X, Y, Z, W, C, N, R, S, P, O, Q = variables("x y z w c n r s p o q")  # noqa: E741
@@ -655,6 +655,36 @@ def _rdfs_types(spark, sf_dir):
     return e.closure().where(f"p = '{T_TYPE}' and (s like '<urn:nation%' or s like '<urn:region%')").select("s", "o")
 
 
+_OWL = "http://www.w3.org/2002/07/owl#"
+
+
+@query(f"""WITH n AS (SELECT '<urn:nation/' || n_nationkey || '>' AS x, n_regionkey AS r FROM nation)
+    SELECT a.x AS s, '<{_OWL}differentFrom>' AS p, b.x AS o FROM n a, n b WHERE (a.r = 1 AND b.r = 2) OR (a.r = 2 AND b.r = 1)
+    UNION ALL SELECT '<urn:v#hosts>', '<{_RDF}type>', '<{_OWL}InverseFunctionalProperty>' UNION ALL SELECT '<urn:v#madeOf>', '<{_RDF}type>', '<{_OWL}FunctionalProperty>'
+    UNION ALL SELECT '<urn:v#Two>', '<{_OWL}disjointWith>', '<urn:v#One>'""")
+def op_d24_support(spark, sf_dir):
+    """OP-D24: what the support rules add: kinds of inverse and singleton-ranged properties, symmetry, different members of disjoint classes."""
+    n = tables(spark, sf_dir)("nation")
+    member = n.where("n_regionkey in (1, 2)").select(F.concat(F.lit("<urn:nation/"), "n_nationkey", F.lit(">")).alias("s"), F.lit(T_TYPE).alias("p"), F.when(F.col("n_regionkey") == 1, F.lit("<urn:v#One>")).otherwise(F.lit("<urn:v#Two>")).alias("o"))
+    e = Engine(spark).add_triples(member)
+    e.load_n3(OWL_PREFIX + "v:One owl:disjointWith v:Two . v:in owl:inverseOf v:hosts . v:in a owl:FunctionalProperty . v:Only owl:oneOf ( v:thing ) . v:madeOf rdfs:range v:Only .")
+    e.load_n3(SUPPORT)
+    return e.inferred()
+
+
+@query("""WITH n AS (SELECT '<urn:nation/' || n_nationkey || '>' AS x, '<urn:region/' || n_regionkey || '>' AS y FROM nation)
+    SELECT y AS s, '<urn:v#contains>' AS p, x AS o FROM n UNION SELECT '<urn:v#world>', '<urn:v#contains>', x FROM n UNION SELECT '<urn:v#world>', '<urn:v#contains>', y FROM n
+    UNION SELECT x, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<urn:v#Worldly>' FROM n UNION SELECT y, '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>', '<urn:v#Worldly>' FROM n""")
+def op_d27_pd(spark, sf_dir):
+    """OP-D27: the pD* rules: sub-properties, a transitive one, its inverse, and a class by value."""
+    e = _nations(spark, sf_dir)
+    e.add_triples(tables(spark, sf_dir)("region").select(F.concat(F.lit("<urn:region/"), "r_regionkey", F.lit(">")), F.lit("<urn:v#within>"), F.lit("<urn:v#world>")))
+    e.load_n3(OWL_PREFIX + """v:inRegion rdfs:subPropertyOf v:within . v:within a owl:TransitiveProperty . v:contains owl:inverseOf v:within .
+        v:Worldly owl:equivalentClass [ a owl:Restriction ; owl:onProperty v:within ; owl:hasValue v:world ] .""")
+    e.load_n3(PD)
+    return e.closure().where(f"p = '<urn:v#contains>' or (p = '{T_TYPE}' and o = '<urn:v#Worldly>')")
+
+
 T_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
