@@ -1,7 +1,16 @@
 """A training-data pipeline: language ID, near-dedup, suffix-array dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents,
+whatever further columns these have and whatever their names.
+
+Defined results. Language ID: a text that is null, empty or has no letter goes; one in
+several languages stays. Near-dedup: of each group the document with the smallest doc_id
+stays, a null one before all others, ties by a hash of the text; of rows with equal doc_id
+and text one stays; documents without words stay. Suffix-array dedup: all rows stay, later
+copies of 100-byte strings go, n_chars follows. Packing: each document, also an emptied one,
+ends with the end id. Very long texts need memory for one or two of them at a time. An empty
+table gives empty results in every stage.
 """
 
 from __future__ import annotations
