@@ -101,10 +101,15 @@ def run(spark: SparkSession, argv: list[str], out=None, stdin=None) -> None:
         text = "\n".join(f"{r['rule']}\t{r['n']}" for r in e.firings().collect())  # a row a rule
     else:
         found = e.closure() if a.closure or a.no_rules else e.inferred()
+        if a.output == "nt":  # a line at a time: nothing is held here
+            for df in [found, *[e._as_triples(p, x) for p, x in (e.filtered().items() if a.filter else ())]]:
+                for r in df.orderBy(*df.columns).toLocalIterator():
+                    print(" ".join(r), ".", file=out)
+            return
         rows = [tuple(r) for r in found.toLocalIterator()]
         for pred, df in e.filtered().items() if a.filter else ():
             rows += [tuple(r) for r in e._as_triples(pred, df).toLocalIterator()]
-        text = {"nt": n3.to_ntriples, "xml": lambda f: rdfxml.write(f, prefixes), "trix": trix.write}.get(a.output, lambda f: n3.to_turtle(f, prefixes))(rows)
+        text = {"xml": lambda f: rdfxml.write(f, prefixes), "trix": trix.write}.get(a.output, lambda f: n3.to_turtle(f, prefixes))(rows)
     print(text, file=out)
 
 

@@ -28,10 +28,3 @@ def theta_join(left: DataFrame, right: DataFrame, test: Callable[[DataFrame, Dat
         return l.join(r, cond & test(left, right)).drop(*[right[c] for c in equal])
     return left.join(right, test(left, right))
 
-
-def semi_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right, on, "left_semi")
-
-
-def anti_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    return left.join(right, on, "left_anti")

@@ -7,6 +7,7 @@ negated one an anti-join, and builtins are filters that Catalyst moves where it
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,10 @@ from .rewrite import sip_order
 Relation = Callable[[Atom, bool], DataFrame]
 
 
+class CartesianProduct(UserWarning):
+    """A rule or query body whose parts aren't connected."""
+
+
 class TypeClash(TypeError):
     """Columns of different types joined on one variable."""
 
@@ -59,6 +64,7 @@ def join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     if shared:
         return left.join(right, shared, how)
     if how == "inner":
+        warnings.warn("conjuncts that share no variable: their product is built", CartesianProduct, stacklevel=2)
         return left.crossJoin(right.drop("v_") if len(right.columns) > 1 else right.withColumnRenamed("v_", f"v_{len(left.columns)}_"))
     return left.join(right.limit(1), F.lit(True), how)
 

@@ -157,8 +157,10 @@ def op_j7_hash_join(spark, sf_dir):
 @query("SELECT DISTINCT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def op_j8_theta(spark, sf_dir):
     """OP-J8: an inequality beside an equality."""
-    e = rules(engine(spark, sf_dir), Atom("pair", (X, Y)) <= Atom("suppNation", (X, N)) & Atom("suppNation", (Y, N)) & (X < Y))
-    return answer(e, Atom("pair", (X, Y)), "one", "two")
+    from .operators.joins import theta_join
+
+    one, two = (tables(spark, sf_dir)("supplier").select(F.col("s_suppkey").alias(k), F.col("s_nationkey").alias("n")) for k in ("one", "two"))
+    return theta_join(one, two, lambda a, b: a["one"] < b["two"], ["n"]).select("one", "two").distinct()
 
 
 @query("SELECT DISTINCT o_orderkey AS orderkey, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
