@@ -81,13 +81,27 @@ class Engine:
         if isinstance(rules, str):
             self.load_n3(rules)
         else:
-            self.rules += list(rules)
+            self._add(list(rules))
         return self._changed()
 
+    def _add(self, rules: list[Rule]) -> None:
+        """Append rules that aren't there yet up to variable names and the order of conjuncts."""
+        def key(r: Rule):
+            try:
+                return canonical(r), r.kind
+            except (TypeError, AttributeError):  # connectives: compared as they stand
+                return repr(replace(r, name="")), r.kind
+
+        known = {key(r) for r in self.rules}
+        for r in rules:
+            if key(r) not in known:
+                known.add(key(r))
+                self.rules.append(r)
+
     def load_n3(self, text: str) -> n3.Document:
         doc = n3.parse(text, self.registry)
         known = len(self.rules)
-        self.rules += [replace(r, name=f"r{known + i + 1}") for i, r in enumerate(doc.rules)]
+        self._add([replace(r, name=f"r{known + i + 1}") for i, r in enumerate(doc.rules)])
         self.prefixes |= doc.prefixes
         if doc.facts:
             self.add_triples(doc.facts)

@@ -108,3 +108,11 @@ def short(term: str, prefixes: dict[str, str]) -> str:
         if best is not None:
             return f"{best}:{body[len(prefixes[best]):]}"
     return term
+
+
+def collapse(prefixes: dict[str, str]) -> dict[str, str]:
+    """One prefix for each namespace: the shortest without a numeric ending such as ``_1``, else the first by name."""
+    best: dict[str, str] = {}
+    for p in sorted(prefixes, key=lambda p: (re.search(r"_\d+$|^ns\d+$", p) is not None, len(p), p)):
+        best.setdefault(prefixes[p], p)
+    return {p: ns for ns, p in best.items()}

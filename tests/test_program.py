@@ -241,3 +241,33 @@ def test_sizes(spark):
 
 def test_fixpoint_knows_its_bounds():
     assert fixpoint.LEAVES < 100 and local.ROWS <= 100_000
+
+
+def test_rif_in_rdf_and_ground_implications(spark):
+    from deductra.plans.ir import canonical
+    from deductra.sources import rif
+
+    pre = "@prefix rif: <http://www.w3.org/2007/rif#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n"
+    const = lambda x: f'[ a rif:Const ; rif:constIRI "urn:x#{x}"^^xsd:anyURI ]'
+    var = lambda x: f'[ a rif:Var ; rif:varname "{x}" ]'
+    frame = lambda s, p, o: f"[ a rif:Frame ; rif:object {s} ; rif:slots ( [ a rif:Slot ; rif:slotkey {const(p)} ; rif:slotvalue {o} ] ) ]"
+    text = pre + f"""[] a rif:Document ; rif:payload [ a rif:Group ; rif:sentences ( {frame(const('a'), 'p', const('b'))}
+        [ a rif:Forall ; rif:vars ( {var('v')} {var('w')} ) ; rif:formula [ a rif:Implies ; rif:if [ a rif:And ; rif:formulas ( {frame(var('v'), 'p', var('w'))} ) ] ; rif:then {frame(var('w'), 'q', var('v'))} ] ]
+        [ a rif:Implies ; rif:if {frame(const('b'), 'q', const('a'))} ; rif:then {frame(const('b'), 'r', const('c'))} ] ) ] ."""
+    doc = rif.parse_graph(n3.parse(text).facts)
+    assert doc.facts == [(u("a"), u("p"), u("b"))] and len(doc.rules) == 2
+    assert canonical(doc.rules[0]) == canonical(t("q", Y, X) <= t("p", X, Y))
+    assert doc.rules[1].head == (t("r", u("b"), u("c")),) and not doc.rules[1].body_variables()
+    e = Engine(spark).add_triples(doc.facts).add_rules(doc.rules)
+    assert rows(e.inferred()) == {(u("b"), u("q"), u("a")), (u("b"), u("r"), u("c"))}
+
+
+def test_equal_rules_are_one(spark):
+    e = Engine(spark).add_rules([t("q", X, Y) <= t("p", X, Z) & t("p", Z, Y)])
+    e.add_rules([t("q", S, O) <= t("p", P, O) & t("p", S, P), t("q", X, Y) <= t("p", X, Y)])
+    e.load_n3(PRE + "{ ?one :p ?two } => { ?one :q ?two } .")
+    assert len(e.rules) == 2
+
+
+def test_collapsed_prefixes():
+    assert T.collapse({"ex_1": "urn:x#", "ex": "urn:x#", "example": "urn:x#", "ns1": "urn:y#"}) == {"ex": "urn:x#", "ns1": "urn:y#"}
