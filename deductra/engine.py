@@ -90,7 +90,7 @@ class Engine:
             try:
                 return canonical(r), r.kind
             except (TypeError, AttributeError):  # connectives: compared as they stand
-                return repr(replace(r, name="")), r.kind
+                return replace(r, name="")
 
         known = {key(r) for r in self.rules}
         for r in rules:
@@ -283,7 +283,7 @@ class Engine:
             return None  # few triples: the rules themselves, in the driver
         except local.NotLocal:
             pass
-        total = rdfs.closure(self.spark, self.triples, lambda few: Engine(self.spark).add_triples(few)._evaluate(self.rules)[1].total["triple"].toDF("s", "p", "o"))
+        total = rdfs.closure(self.spark, cut(self.triples), lambda few: Engine(self.spark).add_triples(few)._evaluate(self.rules)[1].total["triple"].toDF("s", "p", "o"))
         if total is None:
             return None
         fix = Fixpoint(self.spark, [], lambda a: None, self.registry)
@@ -333,6 +333,9 @@ class Engine:
 
     def closure(self) -> DataFrame:
         """Asserted and derived triples."""
+        total = self.close().result.total
+        if set(total) == {"triple"} and self.triples is not None:
+            return total["triple"].toDF("s", "p", "o")
         return self.inferred() if self.triples is None else self.triples.union(self.inferred())
 
     def inferred_only(self, pred: str) -> DataFrame:

@@ -1,28 +1,31 @@
-"""Rule packs over triples."""
+"""Rule packs over triples. Fixed by their specifications: RDF 1.1 Semantics (W3C, entailment patterns rdf1 and rdfs1 to rdfs13, axiomatic triples) and
+H. J. ter Horst, "Completeness, decidability and complexity of entailment for RDF Schema and a semantic extension involving the OWL vocabulary" (2005; pD*).
+Variables: a, b resources; p, q, r properties; c, d, e classes; l, m, n lists.
+"""
 
 _PREFIXES = """@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
 @prefix owl: <http://www.w3.org/2002/07/owl#> .
 """
 _COMMON = _PREFIXES + """
-{ ?a ?prop ?b } => { ?prop rdf:type rdf:Property } .
-{ ?prop rdfs:domain ?cls . ?a ?prop ?b } => { ?a rdf:type ?cls } .
-{ ?prop rdfs:range ?cls . ?a ?prop ?b } => { ?b rdf:type ?cls } .
-{ ?one rdfs:subPropertyOf ?two . ?two rdfs:subPropertyOf ?three } => { ?one rdfs:subPropertyOf ?three } .
-{ ?prop rdf:type rdf:Property } => { ?prop rdfs:subPropertyOf ?prop } .
-{ ?a ?low ?b . ?low rdfs:subPropertyOf ?high } => { ?a ?high ?b } .
-{ ?cls rdf:type rdfs:Class } => { ?cls rdfs:subClassOf rdfs:Resource . ?cls rdfs:subClassOf ?cls } .
-{ ?low rdfs:subClassOf ?high . ?a rdf:type ?low } => { ?a rdf:type ?high } .
-{ ?one rdfs:subClassOf ?two . ?two rdfs:subClassOf ?three } => { ?one rdfs:subClassOf ?three } .
-{ ?prop rdf:type rdfs:ContainerMembershipProperty } => { ?prop rdfs:subPropertyOf rdfs:member } .
-{ ?cls rdf:type rdfs:Datatype } => { ?cls rdfs:subClassOf rdfs:Literal } .
+{ ?a ?p ?b } => { ?p rdf:type rdf:Property } .
+{ ?p rdfs:domain ?c . ?a ?p ?b } => { ?a rdf:type ?c } .
+{ ?p rdfs:range ?c . ?a ?p ?b } => { ?b rdf:type ?c } .
+{ ?p rdfs:subPropertyOf ?q . ?q rdfs:subPropertyOf ?r } => { ?p rdfs:subPropertyOf ?r } .
+{ ?p rdf:type rdf:Property } => { ?p rdfs:subPropertyOf ?p } .
+{ ?a ?p ?b . ?p rdfs:subPropertyOf ?q } => { ?a ?q ?b } .
+{ ?c rdf:type rdfs:Class } => { ?c rdfs:subClassOf rdfs:Resource . ?c rdfs:subClassOf ?c } .
+{ ?c rdfs:subClassOf ?d . ?a rdf:type ?c } => { ?a rdf:type ?d } .
+{ ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?e } => { ?c rdfs:subClassOf ?e } .
+{ ?p rdf:type rdfs:ContainerMembershipProperty } => { ?p rdfs:subPropertyOf rdfs:member } .
+{ ?c rdf:type rdfs:Datatype } => { ?c rdfs:subClassOf rdfs:Literal } .
 """
 #: RDF and RDFS entailment.
 RDFS = _COMMON + """
-{ ?a ?prop ?b } => { ?a rdf:type rdfs:Resource . ?b rdf:type rdfs:Resource } .
+{ ?a ?p ?b } => { ?a rdf:type rdfs:Resource . ?b rdf:type rdfs:Resource } .
 """
 #: Support rules for what the translation of axioms to rules (owl/axioms.py) leaves out.
 SUPPORT = _PREFIXES + """
-{ ?one rdfs:subClassOf ?two . ?two rdfs:subClassOf ?three } => { ?one rdfs:subClassOf ?three } .
+{ ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?e } => { ?c rdfs:subClassOf ?e } .
 { ?c owl:equivalentClass ?d } => { ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?c } .
 { ?c rdfs:subClassOf ?d . ?d rdfs:subClassOf ?c } => { ?c owl:equivalentClass ?d } .
 { ?c owl:disjointWith ?d . ?a a ?c . ?b a ?d } => { ?a owl:differentFrom ?b } .
@@ -98,11 +101,11 @@ rdfs:seeAlso rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource . rdfs:isDefin
 rdfs:comment rdfs:domain rdfs:Resource ; rdfs:range rdfs:Literal . rdfs:label rdfs:domain rdfs:Resource ; rdfs:range rdfs:Literal . rdf:value rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource .
 rdf:Alt rdfs:subClassOf rdfs:Container . rdf:Bag rdfs:subClassOf rdfs:Container . rdf:Seq rdfs:subClassOf rdfs:Container . rdfs:ContainerMembershipProperty rdfs:subClassOf rdf:Property .
 rdf:_1 a rdfs:ContainerMembershipProperty ; rdfs:domain rdfs:Resource ; rdfs:range rdfs:Resource . rdf:XMLLiteral a rdfs:Datatype ; rdfs:subClassOf rdfs:Literal . rdfs:Datatype rdfs:subClassOf rdfs:Class .
-{ ?a ?prop ?b } => { ?prop a rdf:Property } .
-{ ?prop rdfs:range ?cls . ?cls rdfs:subClassOf ?more } => { ?prop rdfs:range ?more } .
-{ ?prop rdfs:domain ?cls . ?cls rdfs:subClassOf ?more } => { ?prop rdfs:domain ?more } .
-{ ?cls a rdfs:Class } => { ?cls rdfs:subClassOf rdfs:Resource } .
-{ ?a ?prop ?b . ?prop str:matches "^http://www.w3.org/1999/02/22-rdf-syntax-ns#_[0-9]+$" } => { ?prop a rdfs:ContainerMembershipProperty } .
+{ ?a ?p ?b } => { ?p a rdf:Property } .
+{ ?p rdfs:range ?c . ?c rdfs:subClassOf ?d } => { ?p rdfs:range ?d } .
+{ ?p rdfs:domain ?c . ?c rdfs:subClassOf ?d } => { ?p rdfs:domain ?d } .
+{ ?c a rdfs:Class } => { ?c rdfs:subClassOf rdfs:Resource } .
+{ ?a ?p ?b . ?p str:matches "^http://www.w3.org/1999/02/22-rdf-syntax-ns#_[0-9]+$" } => { ?p a rdfs:ContainerMembershipProperty } .
 """
 #: Denials: what must not hold.
 INCONSISTENT = _PREFIXES + """
