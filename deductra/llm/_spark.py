@@ -43,7 +43,7 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there: a lost executor costs no recomputation of what came before.
-    Inside ``scratch`` the table lives to the block's end, unless ``keep``. The shuffle files
+    Inside ``scratch`` the table lives to the block's end, unless ``keep``; else to the end of the session. The shuffle files
     behind it, which nothing reads any more, are deleted at once.
     """
     spark = df.sparkSession
@@ -58,16 +58,24 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     out._deductra_path = path
     if _scratch and not keep:
         _scratch[-1].append(out)
+    else:
+        fs, p = _located(spark, path)
+        fs.deleteOnExit(p)
     return out
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``."""
     path = getattr(df, "_deductra_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _located(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 @contextlib.contextmanager
