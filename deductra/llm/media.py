@@ -137,9 +137,11 @@ def store(docs: DataFrame, where: str | None = None) -> DataFrame:
 
     rows = cut(keyed(docs).mapInArrow(run, "doc long, n_bytes long, digest string, shard string, offset long, length long"))
     # where each content's copies are read from; joined by content and shard, so that a content with a third of all rows is dealt by its many shards
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    places = rows.select("digest", F.col("shard").alias("home")).distinct().join(first, "digest")
-    out = rows.select("doc", "n_bytes", "digest", F.col("shard").alias("home")).join(places, ["digest", "home"]).select("doc", "n_bytes", "digest", "place.*", "home")
+    short = rows.withColumn("digest", F.unhex("digest"))
+    first = short.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
+    places = short.select("digest", F.col("shard").alias("home")).distinct().join(first, "digest")
+    out = short.select("doc", "n_bytes", "digest", F.col("shard").alias("home")).join(places, ["digest", "home"]).select("doc", "n_bytes", F.lower(F.hex("digest")).alias("digest"), "place.*", "home")
+    out = cut(out, keep=True)
     out._deductra_media = where
     return out
 
