@@ -14,7 +14,7 @@ are compared in turn. Candidates of unlike sizes are left out at once, the other
 confirmed on full shingle sets, streamed beside their bucket's first document, ``GROUP`` of
 them a task. Confirmed links make components. Buckets in which several components remain
 are then compared whole, block against block, by matrix products that give all exact
-similarities of a block pair and hand on one link for each two components. So every pair
+similarities of a block pair and hand on one link for each two components they join. So every pair
 that shares a bucket is confirmed, refuted, or already connected, and no pairs are
 emitted. Texts are shuffled, sets are not. A block holds about ``BLOCK`` documents and
 ``SHINGLES`` shingles.
@@ -183,28 +183,36 @@ def _links(pairs: DataFrame, texts: DataFrame, set_of: SetOf, similarity: int) -
 def _compare_blocks(set_of: SetOf, similarity: int):
     """Over rows sorted by key and block pair: exact similarities of all members at once, as matrix products over shared shingles.
 
-    Only links between different components are given, one a pair of components.
+    Only links between different components are given, and of these one for each two that it joins: fewer than
+    there are members, and the same components follow.
     """
 
     def links(sets, reps, comps):
         sizes = np.array([len(x) for x in sets])
-        found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(sets)), sizes), counts[inverse] > 1
-        column = (np.cumsum(counts > 1) - 1)[inverse[shared]]
-        row, width = row[shared], int((counts > 1).sum())
+        values = np.concatenate(sets)
+        values.sort()
+        values = values[1:][values[1:] == values[:-1]]
+        values = values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
         both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for g in range(0, width, COLUMNS):
-            a, b = np.searchsorted(column, [g, g + COLUMNS])
-            x = np.zeros((len(sets), min(COLUMNS, width - g)), np.float32)
-            x[row[a:b], column[a:b] - g] = 1
+        for g in range(0, len(values), COLUMNS):
+            part = values[g : g + COLUMNS]
+            x = np.zeros((len(sets), len(part)), np.float32)
+            for row, s in zip(x, sets):
+                s = s[s.searchsorted(part[0]) : s.searchsorted(part[-1], "right")]
+                at = part.searchsorted(s)
+                row[at[part[at] == s]] = 1
             both += x @ x.T
-        union = sizes[:, None] + sizes[None, :] - both
-        c = np.array(comps)
-        u, v = np.nonzero((100 * both >= similarity * union) & (c[:, None] < c[None, :]))
-        _, first = np.unique(np.stack([c[u], c[v]]), axis=1, return_index=True)
-        return [reps[k] for k in u[first]], [reps[k] for k in v[first]]
+        label = np.unique(np.array(comps), return_inverse=True)[1]
+        us, vs = [], []
+        for i, row in enumerate(both):
+            row = row.astype(np.int64)
+            v = np.flatnonzero((100 * row >= similarity * (sizes + sizes[i] - row)) & (label != label[i]))
+            if len(v):
+                joined, first = np.unique(label[v], return_index=True)
+                us += [reps[i]] * len(first)
+                vs += [reps[k] for k in v[first]]
+                label[np.isin(label, joined)] = label[i]
+        return us, vs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sets, reps, comps = None, [], [], []

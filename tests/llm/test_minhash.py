@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deductra.llm import minhash
@@ -111,3 +113,35 @@ def test_buckets_are_compared_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = minhash.near_duplicates(df, 4).collect()
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute(rows, 4)
+
+
+@pytest.mark.parametrize("own,kinds", [(10, 600), (10, 7), (60, 600), (127, 600)])
+def test_block_pairs_give_few_links_in_little_memory(own, kinds):
+    r = np.random.default_rng(own)
+    base = np.unique(r.integers(1, 2**63, 128, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[own:], r.integers(1, 2**63, own, dtype=np.uint64)))) for _ in range(600)]
+    sets[5], sets[400] = sets[300], sets[300][:120]
+    comps = [i % kinds for i in range(600)]
+    rows = [[7] * 600, [0] * 600, [1] * 600, list(range(600)), comps]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array([s.tobytes() for s in sets], pa.binary())], names=list("kabrct"))
+
+    def joined(pairs):
+        at = {c: c for c in comps}
+        for u, v in pairs:
+            old, new = at[comps[u]], at[comps[v]]
+            at = {k: new if x == old else x for k, x in at.items()}
+        return sorted(Counter(at.values()).values()), len({*at.values()})
+
+    tracemalloc.start()
+    got = [(u, v) for out in minhash._compare_blocks(lambda t: np.frombuffer(t, np.uint64), 80)(iter([batch])) for u, v in zip(*(c.to_pylist() for c in out.columns))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = lambda x, y: 100 * (n := len(np.intersect1d(x, y))) >= 80 * (len(x) + len(y) - n)
+    assert all(near(sets[u], sets[v]) and comps[u] != comps[v] for u, v in got)
+    if own == 10:  # all are near
+        assert joined(got) == ([kinds], 1)
+    else:
+        some = [(5, 300), (300, 400)] if own == 127 else [(i, j) for i in range(600) for j in range(i) if near(sets[i], sets[j])]
+        assert joined(got) == joined(some)
+    assert len(got) < kinds
+    assert peak < 24 << 20
