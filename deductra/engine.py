@@ -396,9 +396,11 @@ class Engine:
 
         rules = normalise([*self.rules, *(extra or [])])
         rules, hidden = self._under_policy([r for r in rules if r.head])
+        once = False
         if method == "naive" or self._second_order(rules):
             fix = self.close() if not extra else self._evaluate([*self.rules, *extra])[0]
             extent = self._extent(fix, goal)
+            once = goal.pred in fix.result.once and len({a for a in goal.args if isinstance(a, Var)}) == len(goal.args)
         else:
             own, target, seed = magic(rules, goal, method not in ("magic", "gms"))
             if not own:
@@ -409,7 +411,8 @@ class Engine:
                 fix, result = self._evaluate([*own, *hybrid], target if not any(isinstance(a, Var) for a in target.args) else None, seed)
                 extent = result.total[target.pred]
                 self.last_derived = result
-        out = scan(extent.toDF(*[f"c{i}" for i in range(len(extent.columns))]), goal).distinct()
+        out = scan(extent.toDF(*[f"c{i}" for i in range(len(extent.columns))]), goal)
+        out = out if once else out.distinct()
         return out.toDF(*[c.removeprefix("v_") or "found" for c in out.columns])
 
     def _hybrid(self, own: list[Rule], rules: list[Rule], hidden: set[str]) -> list[Rule]:

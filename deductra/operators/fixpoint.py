@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.builtins import Registry
 from ..plans.analyze import check_safety, strata
-from ..plans.compile import bindings, conclusions
+from ..plans.compile import bindings, conclusions, pairs_of
 from ..plans.ir import Atom, Rule, Var
 from ..plans.rewrite import double_linear, normalise
 from . import local
@@ -66,6 +66,7 @@ class Result:
     rounds: dict[str, list[tuple[int, DataFrame]]] = field(default_factory=dict)
     n_rounds: int = 0
     reached_goal: bool = False
+    once: set[str] = field(default_factory=set)  # relations without duplicates by their plan, with no step that removes them
 
     def inferred(self, pred: str) -> DataFrame:
         """What evaluation added to a relation."""
@@ -150,12 +151,20 @@ class Fixpoint:
         if leaves > LEAVES and self._local(comp, rules, None):
             self.result.n_rounds -= 2
             return
+        paired: set[str] = set()
         for r in rules:
-            for p, df in self._fire(r, lambda a, d: self._relation(a)):
+            met = None if r.name.split(".")[0] in self.actions else pairs_of(r, lambda a, d: self._relation(a), self.registry)
+            if met is not None:
+                paired.add(r.head[0].pred)
+                leaves += sum(self.leaves.get(a.pred, 1) for a in r.atoms() if isinstance(a, Atom))  # each side is read twice
+            for p, df in self._fire(r, lambda a, d: self._relation(a)) if met is None else conclusions(r, met):
                 found.setdefault(p, []).append(df)
         for p, parts in found.items():
             had = self.result.asserted.get(p)
-            new = _union(parts).distinct()
+            once = p in paired and len(parts) == 1
+            if once and had is None and leaves <= LEAVES:
+                self.result.once.add(p)
+            new = parts[0] if once else _union(parts).distinct()
             if leaves > LEAVES:
                 new = cut(new)
             self.leaves[p] = 2 if leaves > LEAVES else leaves

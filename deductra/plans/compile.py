@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.builtins import Registry
+from ..operators.joins import pairs
 from .ir import Atom, Builtin, Rule, Var
 from .rewrite import sip_order
 
@@ -137,6 +138,39 @@ def bindings(rule: Rule, relation: Relation, registry: Registry, delta: int | No
     return now
 
 
+def pairs_of(rule: Rule, relation: Relation, registry: Registry) -> DataFrame | None:
+    """The bindings of the head's variables, each once, where a rule joins two conjuncts to pairs of what each has alone; None for other rules."""
+    body = list(rule.atoms())
+    atoms, tests = [a for a in body if isinstance(a, Atom)], [a for a in body if isinstance(a, Builtin)]
+    if len(atoms) != 2 or len(rule.head) != 1 or rule.existential() or any(a.negated for a in atoms) or any(len(b.args) != 2 for b in tests):
+        return None
+    wanted, own = rule.head_variables(), [set(a.variables()) for a in atoms]
+    shared = own[0] & own[1]
+    if not shared or not wanted & own[0] - shared or not wanted & own[1] - shared or not all(any(set(b.variables()) <= s for s in (*own, wanted)) for b in tests):
+        return None
+
+    def holds(b: Builtin) -> Column:
+        test = registry.apply(b.op, value(b.args[0]), value(b.args[1]))
+        return ~F.coalesce(test, F.lit(False)) if b.negated else test
+
+    sides = []
+    for a, mine in zip(atoms, own):
+        side = scan(relation(a, False), a)
+        for b in tests:
+            if set(b.variables()) <= mine:
+                side = side.where(holds(b))
+        sides.append(side.select(*[c for c in side.columns if any(c == col(v) for v in wanted | shared)]))
+    left, right = sides
+    if any(dict(left.dtypes)[col(v)] != dict(right.dtypes)[col(v)] for v in shared):
+        return None
+    on = [c for c in left.columns if c in right.columns]
+    out = pairs(left, right, on, [c for c in on if any(c == col(v) for v in wanted)])
+    for b in tests:
+        if not any(set(b.variables()) <= mine for mine in own):
+            out = out.where(holds(b))
+    return out
+
+
 def _one(relation, domain) -> DataFrame:
     from pyspark.sql import SparkSession
 
