@@ -160,7 +160,7 @@ def op_j8_theta(spark, sf_dir):
     from .operators.joins import theta_join
 
     one, two = (tables(spark, sf_dir)("supplier").select(F.col("s_suppkey").alias(k), F.col("s_nationkey").alias("n")) for k in ("one", "two"))
-    return theta_join(one, two, lambda a, b: a["one"] < b["two"], ["n"]).select("one", "two").distinct()
+    return theta_join(one, two, lambda a, b: a["one"] < b["two"], ["n"], distinct=True)
 
 
 @query("SELECT DISTINCT o_orderkey AS orderkey, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")

@@ -58,3 +58,19 @@ def test_rule_of_pairs_beside_stored_facts_and_other_rules(spark):
     e = Engine(spark).relation("a", spark.createDataFrame([(1, 1), (2, 1)], "x long, n int")).relation("p", spark.createDataFrame([(1, 1), (9, 9), (9, 9)], "x long, y long"))
     e.add_rules([Atom("p", (X, Y)) <= Atom("a", (X, N)) & Atom("a", (Y, N)), Atom("p", (X, X)) <= Atom("a", (X, N))])
     assert sorted(tuple(r) for r in e.query(Atom("p", (X, Y)), "naive").collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (9, 9)]
+
+
+def test_theta_pairs_are_not_shuffled(spark, sf_dir):
+    assert "Aggregate" not in tops(queries.op_j8_theta(spark, sf_dir))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_distinct_theta_join_on_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(joins, "BLOCK", block)
+    a, b = odd_rows(2)
+    left, right = (spark.createDataFrame(rows, "k long, n int") for rows in (a, b))
+    test = lambda l, r: l["k"] < r["k"]
+    want = {(x, y) for x, n in a for y, k in b if n is not None and n == k and None not in (x, y) and x < y}
+    for r in (right, right.selectExpr("k", "cast(n as double) as n")):  # keys of two types take the plain join
+        got = [tuple(x) for x in joins.theta_join(left, r, test, ["n"], distinct=True).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
